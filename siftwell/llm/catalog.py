@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, pieces
+from . import langid, packing, pieces, pii, secrets
 from .common import table
 
 
@@ -16,6 +16,19 @@ def op1_sentencepiece(spark, sf_dir):
     return pieces.encode(table(spark, sf_dir, "documents"), public_file("piece_bpe_32k.model"))
 
 
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
+def op6_secrets(spark, sf_dir):
+    return secrets.detect(table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark, sf_dir):
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json"))
 
@@ -23,6 +36,9 @@ def op9_packing(spark, sf_dir):
 def queries() -> dict:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op4_language_id": op4_language_id,
+        "op6_secrets": op6_secrets,
+        "op7_pii": op7_pii,
         "op9_packing": op9_packing,
     }
 
