@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, packing, pieces, pii, secrets
+from . import htmltext, langid, packing, pieces, pii, secrets
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op9_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json"))
 
 
+def op10_html_text(spark, sf_dir):
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -40,6 +44,7 @@ def queries() -> dict:
         "op6_secrets": op6_secrets,
         "op7_pii": op7_pii,
         "op9_packing": op9_packing,
+        "op10_html_text": op10_html_text,
     }
 
 
