@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import htmltext, langid, packing, pieces, pii, secrets, topk, warc
+from . import htmltext, langid, neardup, packing, pieces, pii, secrets, topk, warc
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_language_id(spark, sf_dir):
     return langid.predict(docs, langid.fit(docs))
 
 
+def op5_near_duplicates(spark, sf_dir):
+    return neardup.group(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark, sf_dir):
     return secrets.detect(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def queries() -> dict:
         "op1_sentencepiece": op1_sentencepiece,
         "op2_warc": op2_warc,
         "op4_language_id": op4_language_id,
+        "op5_near_duplicates": op5_near_duplicates,
         "op6_secrets": op6_secrets,
         "op7_pii": op7_pii,
         "op8_top_k": op8_top_k,
