@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import htmltext, langid, neardup, packing, pieces, pii, secrets, topk, warc
+from . import htmltext, langid, neardup, packing, pieces, pii, secrets, topk, warc, weighted
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op2_warc(spark, sf_dir):
     return got.drop("archive", "frame")
 
 
+def op3_fingerprints(spark, sf_dir):
+    return weighted.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
@@ -54,6 +58,7 @@ def queries() -> dict:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_warc": op2_warc,
+        "op3_fingerprints": op3_fingerprints,
         "op4_language_id": op4_language_id,
         "op5_near_duplicates": op5_near_duplicates,
         "op6_secrets": op6_secrets,
