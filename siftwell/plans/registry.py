@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from . import retrieval, structure
+
+FAMILIES = (retrieval, structure)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in FAMILIES for k, v in m.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in FAMILIES for k, v in m.SQL.items()}
 
 
 def entry(spark, sf_dir: str):
