@@ -7,6 +7,9 @@ is checked to be small.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,36 +37,48 @@ def lookup(terms: DataFrame, p: DataFrame) -> DataFrame:
     return p.join(small(terms), "term").select("query_id", "term", "unit_id", "mass")
 
 
-def hits(terms: DataFrame, p: DataFrame) -> DataFrame:
-    """lookup() with df, the term's number of units: only the query's terms are counted."""
-    found = lookup(terms, p)
-    wanted = terms.select("term").distinct()
-    df = p.join(small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    return found.join(df, "term")
+@dataclass
+class Probe:
+    """One pass of the index by the questions' terms. found: (query_id, term, unit_id,
+    mass), kept, as evidence and scores all start from it; df: (query_id, term, df) of the
+    terms that are in the index, a row per question term at most."""
+
+    terms: DataFrame
+    found: DataFrame
+    df: DataFrame
+
+
+def probe(q: DataFrame, p: DataFrame) -> Probe:
+    terms = query_terms(q)
+    found = lookup(terms, p).persist(StorageLevel.MEMORY_AND_DISK)
+    return Probe(terms, found, found.groupBy("query_id", "term").agg(F.count("*").alias("df")))
+
 
+def hits(at: Probe, n: DataFrame) -> DataFrame:
+    """(query_id, term, unit_id, mass, df, idf, n)."""
+    df = at.df.crossJoin(F.broadcast(n)).withColumn("idf", idf(F.col("df"), F.col("n")))
+    return at.found.join(small(df), ["query_id", "term"])
 
-def term_states(terms: DataFrame, p: DataFrame, n: DataFrame) -> DataFrame:
+
+def term_states(at: Probe, n: DataFrame) -> DataFrame:
     """(query_id, term, df, state, n): absent terms stay, with df 0. n: one row (n)."""
-    wanted = terms.select("term").distinct()
-    df = p.join(small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    j = terms.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)).cast("long")).crossJoin(F.broadcast(n))
+    j = at.terms.join(at.df, ["query_id", "term"], "left").withColumn("df", F.coalesce("df", F.lit(0)).cast("long")).crossJoin(F.broadcast(n))
     state = F.when(is_ubiquitous(F.col("df"), F.col("n")), "ubiquitous").when(F.col("df") == 0, "absent").otherwise("matched")
     return j.select("query_id", "term", "df", state.alias("state"), "n")
 
 
-def evidence(q: DataFrame, p: DataFrame, n: DataFrame, min_coverage: float = MIN_COVERAGE, min_concentration: float = MIN_CONCENTRATION) -> DataFrame:
+def evidence(q: DataFrame, at: Probe, n: DataFrame, min_coverage: float = MIN_COVERAGE, min_concentration: float = MIN_CONCENTRATION) -> DataFrame:
     """One row per query: query_terms, considered, matched, ubiquitous (counts), coverage,
     concentration, sufficient, reason."""
-    terms = query_terms(q)
-    states = term_states(terms, p, n)
+    states = term_states(at, n)
     w = idf(F.col("df"), F.col("n"))
     per = states.groupBy("query_id").agg(
         F.count("*").alias("query_terms"), F.count_if(F.col("state") != "ubiquitous").alias("considered"),
         F.count_if(F.col("state") == "matched").alias("matched"), F.count_if(F.col("state") == "ubiquitous").alias("ubiquitous"),
         F.sum(F.when(F.col("state") == "matched", w).when(F.col("state") == "absent", idf(F.lit(1), F.col("n"))).otherwise(0.0)).alias("budget"),
     )
-    rare = states.where("state = 'matched'").select("query_id", "term", w.alias("idf"))
-    best = p.select("term", "unit_id").join(small(rare), "term").groupBy("query_id", "unit_id").agg(F.sum("idf").alias("held"))
+    h = hits(at, n).where(~is_ubiquitous(F.col("df"), F.col("n")))
+    best = h.groupBy("query_id", "unit_id").agg(F.sum("idf").alias("held"))
     best = best.groupBy("query_id").agg(F.max("held").alias("held"))
     j = q.select("query_id").join(per, "query_id", "left").join(best, "query_id", "left").crossJoin(F.broadcast(n))
     for c in ("query_terms", "considered", "matched", "ubiquitous"):
@@ -86,19 +101,18 @@ def evidence(q: DataFrame, p: DataFrame, n: DataFrame, min_coverage: float = MIN
     return j.select("query_id", "query_terms", "considered", "matched", "ubiquitous", "coverage", "concentration", enough.alias("sufficient"), reason.alias("reason"))
 
 
-def lexical(h: DataFrame, n: DataFrame) -> DataFrame:
-    """(query_id, unit_id, lexical): saturated masses over the query's ceiling."""
-    w = h.crossJoin(F.broadcast(n)).withColumn("idf", idf(F.col("df"), F.col("n")))
-    ceiling = w.select("query_id", "term", "idf").distinct().groupBy("query_id").agg((F.sum("idf") * (K1 + 1)).alias("ceiling"))
-    s = w.groupBy("query_id", "unit_id").agg(F.sum(F.col("idf") * F.col("mass") * (K1 + 1) / (F.col("mass") + K1)).alias("s"))
+def lexical(h: DataFrame) -> DataFrame:
+    """(query_id, unit_id, lexical): saturated masses over the query's ceiling; h: hits()."""
+    ceiling = h.groupBy("query_id", "term").agg(F.max("idf").alias("idf")).groupBy("query_id").agg((F.sum("idf") * (K1 + 1)).alias("ceiling"))
+    s = h.groupBy("query_id", "unit_id").agg(F.sum(F.col("idf") * F.col("mass") * (K1 + 1) / (F.col("mass") + K1)).alias("s"))
     return s.join(ceiling, "query_id").select("query_id", "unit_id", (F.col("s") / F.col("ceiling")).alias("lexical"))
 
 
-def selective(h: DataFrame, n: DataFrame) -> DataFrame:
+def selective(h: DataFrame) -> DataFrame:
     """(query_id, unit_id) that get a vector score: units of selective terms, or all
     lexical hits if there are none of those and the hits are few."""
     t = F.greatest(F.lit(64), F.least(F.lit(2048), F.floor(F.col("n") / 10)))
-    h = h.crossJoin(F.broadcast(n)).withColumn("t", t)
+    h = h.withColumn("t", t)
     rare = h.where("df <= t").select("query_id", "unit_id").distinct()
     per = h.groupBy("query_id").agg(F.count_distinct("unit_id").alias("hit"), F.min("df").alias("least"), F.max("t").alias("t"))
     few = per.where("least > t and hit <= t").select("query_id")
@@ -111,15 +125,14 @@ def cosine(a, b):
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), dot).otherwise(0.0)
 
 
-def hybrid(q: DataFrame, p: DataFrame, n: DataFrame, unit_vectors: DataFrame, query_vectors: DataFrame, vector_weight: float = VECTOR_WEIGHT) -> DataFrame:
+def hybrid(q: DataFrame, at: Probe, n: DataFrame, unit_vectors: DataFrame, query_vectors: DataFrame, vector_weight: float = VECTOR_WEIGHT) -> DataFrame:
     """(query_id, unit_id, score) of every unit with evidence, for the queries whose
     evidence suffices: refused queries never reach the scoring joins."""
-    enough = evidence(q, p, n).where("sufficient").select("query_id")
-    h = hits(query_terms(q.join(enough, "query_id", "left_semi")), p)
-    lex = lexical(h, n)
-    near = selective(h, n).join(unit_vectors, "unit_id").join(query_vectors, "query_id")
+    enough = evidence(q, at, n).where("sufficient").select("query_id")
+    h = hits(Probe(at.terms, at.found.join(small(enough, 100_000), "query_id", "left_semi"), at.df), n)
+    near = selective(h).join(unit_vectors, "unit_id").join(query_vectors, "query_id")
     near = near.select("query_id", "unit_id", cosine(F.col("unit_vector"), F.col("query_vector")).alias("cos"))
-    j = lex.join(near, ["query_id", "unit_id"], "left")
+    j = lexical(h).join(near, ["query_id", "unit_id"], "left")
     return j.select("query_id", "unit_id", (F.col("lexical") + vector_weight * F.greatest(F.lit(0.0), F.coalesce("cos", F.lit(0.0)))).alias("score"))
 
 
@@ -130,9 +143,9 @@ def ranked(scores: DataFrame, limit: int = LIMIT) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= limit).select("query_id", "rank", "unit_id", "score")
 
 
-def matched_terms(winners: DataFrame, terms: DataFrame, p: DataFrame) -> DataFrame:
+def matched_terms(winners: DataFrame, at: Probe) -> DataFrame:
     """(query_id, unit_id, terms): sorted, for the winners alone."""
-    found = lookup(terms, p).select("query_id", "unit_id", "term")
+    found = at.found.select("query_id", "unit_id", "term")
     w = winners.select("query_id", "unit_id")
     j = found.join(small(w), ["query_id", "unit_id"], "left_semi")
     return j.groupBy("query_id", "unit_id").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("terms"))

@@ -212,13 +212,17 @@ def posting_lookup(s, d):
 # evidence
 
 
+def _probe(s, d):
+    return R.probe(_questions(s, d), _postings(s, d))
+
+
 def _evidence(s, d):
-    return R.evidence(_questions(s, d), _postings(s, d), _n(s, d))
+    return R.evidence(_questions(s, d), _probe(s, d), _n(s, d))
 
 
 @query("evidence_terms", f"WITH {EVID} SELECT query_id, term, CAST(df AS BIGINT) AS df, state FROM st")
 def evidence_terms(s, d):
-    return R.term_states(R.query_terms(_questions(s, d)), _postings(s, d), _n(s, d)).select("query_id", "term", "df", "state")
+    return R.term_states(_probe(s, d), _n(s, d)).select("query_id", "term", "df", "state")
 
 
 @query("evidence_coverage", f"WITH {EVID} SELECT query_id, CAST(considered AS BIGINT) AS considered, CAST(matched AS BIGINT) AS matched, round(coverage, 6) AS coverage FROM ev")
@@ -270,23 +274,23 @@ def _vectors(s, d):
 
 
 def _hits(s, d):
-    return R.hits(R.query_terms(_questions(s, d)), _postings(s, d))
+    return R.hits(_probe(s, d), _n(s, d))
 
 
 @query("bm25f_search", f"WITH {RANK} SELECT query_id, CAST(rank AS BIGINT) AS rank, unit_id, score FROM (SELECT query_id, unit_id, round(lexical, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 6) DESC, unit_id) AS rank FROM lex)")
 def bm25f_search(s, d):
-    scores = R.lexical(_hits(s, d), _n(s, d)).withColumn("score", F.round("lexical", 6))
+    scores = R.lexical(_hits(s, d)).withColumn("score", F.round("lexical", 6))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("unit_id"))
     return scores.select("query_id", F.row_number().over(w).cast("long").alias("rank"), "unit_id", "score")
 
 
 @query("topk_search", f"WITH {RANK} SELECT query_id, CAST(rank AS BIGINT) AS rank, unit_id, score FROM (SELECT query_id, unit_id, round(lexical, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 6) DESC, unit_id) AS rank FROM lex) WHERE rank <= 8")
 def topk_search(s, d):
-    return R.ranked(R.lexical(_hits(s, d), _n(s, d)).withColumnRenamed("lexical", "score"))
+    return R.ranked(R.lexical(_hits(s, d)).withColumnRenamed("lexical", "score"))
 
 
 def _hybrid(s, d):
-    return R.ranked(R.hybrid(_questions(s, d), _postings(s, d), _n(s, d), *_vectors(s, d)))
+    return R.ranked(R.hybrid(_questions(s, d), _probe(s, d), _n(s, d), *_vectors(s, d)))
 
 
 @query("hybrid_search", f"WITH {RANK} SELECT * FROM top")
@@ -296,12 +300,12 @@ def hybrid_search(s, d):
 
 @query("matched_terms", f"WITH {RANK} SELECT t.query_id, t.unit_id, string_agg(qt.term, ' ' ORDER BY qt.term) AS terms FROM top t JOIN qt USING (query_id) JOIN postings p ON p.term = qt.term AND p.unit_id = t.unit_id GROUP BY t.query_id, t.unit_id")
 def matched_terms(s, d):
-    return R.matched_terms(_hybrid(s, d), R.query_terms(_questions(s, d)), _postings(s, d))
+    return R.matched_terms(_hybrid(s, d), _probe(s, d))
 
 
 @query("selective_candidates", f"WITH {RANK} SELECT query_id, unit_id FROM sel")
 def selective_candidates(s, d):
-    return R.selective(_hits(s, d), _n(s, d))
+    return R.selective(_hits(s, d))
 
 
 _RECALL = """sims AS (SELECT qv.query_id, uv.unit_id, round(list_dot_product(CAST(uv.v AS DOUBLE[]), CAST(qv.v AS DOUBLE[])), 6) AS score FROM qv, uv)"""

@@ -76,11 +76,11 @@ def edges_valid(s, d):
 
 @query(
     "edges_from_json",
-    """SELECT DISTINCT event_type AS source, json_extract_string(p, '$.page') AS target, 'calls' AS kind, '' AS label FROM (SELECT event_type, CAST(props AS JSON) AS p FROM events)
-WHERE json_extract_string(p, '$.page') IS NOT NULL""",
+    """SELECT DISTINCT event_type AS source, json_extract_string(p, '$.k') AS target, 'calls' AS kind, '' AS label FROM (SELECT event_type, CAST(props AS JSON) AS p FROM events)
+WHERE json_extract_string(p, '$.k') IS NOT NULL""",
 )
 def edges_from_json(s, d):
-    e = C.table(s, d, "events").select(F.to_json(F.struct(F.col("event_type").alias("source"), F.get_json_object("props", "$.page").alias("target"), F.lit("calls").alias("kind"))).alias("line"))
+    e = C.table(s, d, "events").select(F.to_json(F.struct(F.col("event_type").alias("source"), F.get_json_object("props", "$.k").alias("target"), F.lit("calls").alias("kind"))).alias("line"))
     bad = s.createDataFrame([("not json",), ('{"source":"a"}',), ('{"source":"a","target":"a","kind":"calls"}',), ("[1]",)], "line string")
     return G.from_json(e.unionByName(bad))
 
@@ -624,7 +624,7 @@ def ruler_check(s, d):
 
 @query("absent_intruders", f"{EVAL} SELECT query_id, term, CAST(df AS BIGINT) AS df FROM st WHERE df > 0 AND query_id NOT IN (SELECT query_id FROM acc)")
 def absent_intruders(s, d):
-    st = R.term_states(R.query_terms(V._questions(s, d)), V._postings(s, d), V._n(s, d)).where("df > 0")
+    st = R.term_states(V._probe(s, d), V._n(s, d)).where("df > 0")
     return st.join(_accept(s, d).select("query_id").distinct(), "query_id", "left_anti").select("query_id", "term", "df")
 
 
