@@ -237,8 +237,9 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_extra."""
     scan = durable(scanned(df, id_col, text_col))
     extra = extra_spans(scan, promoted(scan))
-    own = scan.drop("occ")
-    joined = own.join(extra, own["doc_id"].eqNullSafe(extra["doc_id"]) & (own["th"] == extra["th"]), "left").drop(extra["doc_id"]).drop(extra["th"])
+    # named apart: both sides come from one table, whose columns a join can't tell apart
+    extra = extra.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "extra")
+    joined = scan.drop("occ").join(extra, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
     names = F.array(*[F.lit(k) for k in KINDS])
     full = F.array_sort(F.array_union("spans", F.coalesce(F.col("extra"), F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)"))))
     text = F.array_join(F.transform(full, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
@@ -269,14 +270,14 @@ def redact(df: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     n_chars counted anew; all other columns stay. Rows without a find are unchanged."""
     names = df.schema.names
     schema = df.schema
-    th = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    th = F.xxhash64(F.coalesce(df["text"], F.lit("")))
     if extra is None:
         scan = durable(scanned(df))
         extra = extra_spans(scan, promoted(scan))
     extra = durable(extra.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("extra").alias("_extra")))
     few = extra.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     right = F.broadcast(extra) if few else extra
-    joined = df.join(right, df["doc_id"].eqNullSafe(F.col("_id")) & (th == F.col("_th")), "left").select(*[df[c] for c in names], "_extra")
+    joined = df.join(right, df["doc_id"].eqNullSafe(extra["_id"]) & (th == extra["_th"]), "left").select(*[df[c] for c in names], extra["_extra"])
     text_at, n_at = names.index("text"), names.index("n_chars")
 
     def run(batches):

@@ -24,7 +24,7 @@ from siftwell.llm import catalog, htmltext, langid, neardup, packing, pieces, pi
 
 PIECE, BPE = catalog.public_file("piece_bpe_32k.model"), catalog.public_file("byte_bpe_50k.json")
 SP, TOK = sentencepiece.SentencePieceProcessor(model_file=PIECE), Tokenizer.from_file(BPE)
-ODD = st.text(alphabet=st.sampled_from(list("ab1 .,\n\t▁é漢🙂'<|>_\x00　") + ["the", "  ", "<|endoftext|>", "</s>", "'s", "́"]), max_size=30)
+ODD = st.lists(st.sampled_from([*"ab1 .,\n\t▁é漢🙂'<|>_\x00　", "the", "  ", "<|endoftext|>", "</s>", "'s", "\u0301"]), max_size=30).map("".join)
 
 
 @settings(max_examples=300, deadline=None)
@@ -277,7 +277,7 @@ def _xx(*xs: int) -> int:
 def _fingerprint(text: str) -> str:
     terms = collections.Counter(text.split())
     out = []
-    for k in range(weighted.SAMPLES):
+    for k in range(weighted.SAMPLES if terms else 0):
         best = None
         for word, w in terms.items():
             term = xxhash.xxh64_intdigest(word.encode(), 42)
@@ -292,7 +292,7 @@ def _fingerprint(text: str) -> str:
             code = (max(0, min((1 << 39) - 1, place)) << 24) | (_xx(term, t) & ((1 << 24) - 1))
             best = code if best is None else min(best, code)
         out.append(f"{best & ((1 << 24) - 1):06x}")
-    return "".join(out) if terms else ""
+    return "".join(out)
 
 
 def test_fingerprints_equal_brute_force(spark, docs_schema):
