@@ -30,6 +30,8 @@ from .common import durable
 
 SAMPLES = 64
 RANGE = 4096
+#: Hex digits per sample, and samples drawn together in one row.
+WIDTH, TOGETHER = 6, 4
 #: Draws of 21 bits each from one 63-bit hash.
 _UNIT = float(1 << 21)
 
@@ -39,30 +41,43 @@ def _draw(h, at: int):
     return (F.shiftrightunsigned(h, 21 * at).bitwiseAND((1 << 21) - 1).cast("double") + 0.5) / _UNIT
 
 
+def _least(terms: DataFrame, keys: list[str], samples: int) -> DataFrame:
+    """keys, g, and for each side e of 0 and 1 the least codes c{e}_0.. of the samples
+    g * TOGETHER + 0..; terms: keys, term, lw0 and lw1 (ln of its weight in either text,
+    null where it is absent). A row is made per group of samples, not per sample, and a
+    term that both texts hold is drawn once."""
+    js = range(TOGETHER)
+    k = terms.select(*keys, "term", "lw0", "lw1", F.explode(F.sequence(F.lit(0), F.lit(samples // TOGETHER - 1))).alias("g"))
+    kept = [*keys, "g", "term", "lw0", "lw1"]
+    k = k.select(*kept, *[F.xxhash64("term", F.col("g") * TOGETHER + j).alias(f"h{j}") for j in js])
+    k = k.select(*kept, *[f"h{j}" for j in js], *[F.xxhash64(f"h{j}", "term").alias(f"i{j}") for j in js])
+    drawn = []
+    for j in js:
+        h, i = F.col(f"h{j}"), F.col(f"i{j}")
+        drawn += [(-F.log(_draw(h, 0) * _draw(h, 1))).alias(f"r{j}"), F.log(-F.log(_draw(i, 0) * _draw(i, 1))).alias(f"l{j}"), _draw(h, 2).alias(f"b{j}")]
+    k = k.select(*kept, *drawn)
+    k = k.select(*kept, *[f"{x}{j}" for j in js for x in "rlb"], *[F.floor(F.col(f"lw{e}") / F.col(f"r{j}") + F.col(f"b{j}")).alias(f"t{e}_{j}") for j in js for e in (0, 1)])
+    codes = []
+    for j in js:
+        for e in (0, 1):
+            t = F.col(f"t{e}_{j}")
+            log_a = F.col(f"l{j}") - F.col(f"r{j}") * (t - F.col(f"b{j}") + 1)
+            # ordered by ln a in steps of 2**-24 (39 bits), then by the sample's own 24 bits
+            place = F.floor((log_a + 8192) * (1 << 24))
+            place = F.when(place < 0, F.lit(0).cast("long")).when(place > (1 << 39) - 1, F.lit((1 << 39) - 1).cast("long")).otherwise(place)
+            codes.append(F.min(F.shiftleft(place, 24).bitwiseOR(F.xxhash64("term", t).bitwiseAND((1 << 24) - 1))).alias(f"c{e}_{j}"))
+    return k.groupBy(*keys, "g").agg(*codes)
+
+
 def sampled(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """keys, and fingerprint (string): 8 hex digits per sample. terms: keys, term (a
-    64-bit hash), w (its weight in the document, above 0). The keys' rows must already
-    lie together for this not to shuffle."""
-    k = terms.select(*keys, "term", F.log(F.col("w").cast("double")).alias("lw"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("k"))
-    h1 = F.xxhash64("term", "k")
-    drawn = k.select(*keys, "term", "lw", "k", h1.alias("h1"), F.xxhash64(h1, "term").alias("h2"))
-    r = -F.log(_draw(F.col("h1"), 0) * _draw(F.col("h1"), 1))
-    log_c = F.log(-F.log(_draw(F.col("h2"), 0) * _draw(F.col("h2"), 1)))
-    drawn = drawn.select(*keys, "term", "k", "lw", r.alias("r"), log_c.alias("lc"), _draw(F.col("h1"), 2).alias("b"))
-    drawn = drawn.select(*keys, "term", "k", "r", "lc", "b", F.floor(F.col("lw") / F.col("r") + F.col("b")).alias("t"))
-    log_a = F.col("lc") - F.col("r") * (F.col("t") - F.col("b") + 1)
-    # ordered by ln a in steps of 2**-24 (39 bits), then by the sample's own 24 bits
-    place = F.floor((log_a + 8192) * (1 << 24))
-    code = F.when(F.col("term").isNotNull(), F.shiftleft(F.greatest(F.lit(0).cast("long"), F.least(place, F.lit((1 << 39) - 1).cast("long"))), 24).bitwiseOR(
-        F.xxhash64("term", "t").bitwiseAND((1 << 24) - 1)
-    ))
-    least = drawn.select(*keys, "k", code.alias("code")).groupBy(*keys, "k").agg(F.min("code").alias("code"))
-    name = F.lpad(F.hex(F.col("code").bitwiseAND((1 << 24) - 1)), 6, "0")
-    got = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", name.alias("s")))).alias("all"))
-    return got.select(*keys, F.lower(F.array_join(F.transform("all", lambda x: x["s"]), "")).alias("fingerprint"))
-
-
-WIDTH = 6
+    """keys, fingerprint and edited_fingerprint (strings): WIDTH hex digits per sample.
+    terms as in _least. The keys' rows must already lie together for this not to shuffle."""
+    least = _least(terms, keys, samples)
+    digits = lambda e, j: F.lpad(F.hex(F.col(f"c{e}_{j}").bitwiseAND((1 << 24) - 1)), WIDTH, "0")
+    parts = [F.concat_ws("", *[digits(e, j) for j in range(TOGETHER)]).alias(f"s{e}") for e in (0, 1)]
+    got = least.select(*keys, "g", *parts).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("g", "s0", "s1"))).alias("all"))
+    whole = lambda name: F.lower(F.array_join(F.col(f"all.{name}"), ""))
+    return got.select(*keys, whole("s0").alias("fingerprint"), whole("s1").alias("edited_fingerprint"))
 
 
 def likeness(a, b):
@@ -95,16 +110,17 @@ def with_edits(df: DataFrame, follow: DataFrame, id_col: str = "doc_id", text_co
     document in front."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    docs = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("dk"), F.xxhash64("text").alias("th"), "doc_id", "text").repartition("dk")
+    # one exchange serves both uses below, so nothing is filtered or pruned in front of it
+    docs = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("dk"), "doc_id", "text").repartition("dk")
     takes = F.floor(F.length("text") / 4).cast("int")
     # how much of the next document each document takes, told to that document
     asks = df.select(F.col(id_col).cast("long").alias("doc_id"), F.floor(F.length(text) / 4).cast("int").alias("m")).distinct().join(follow, "doc_id")
     asks = asks.groupBy(F.col("next_id").alias("dk")).agg(F.collect_set(F.struct(F.col("doc_id").alias("asker"), "m")).alias("asks"))
-    given = docs.where("doc_id is not null").join(asks, "dk").select(F.explode("asks").alias("ask"), "text")
-    heads = given.select(F.col("ask.asker").alias("dk"), F.col("ask.m").alias("m"), F.expr("substring(text, 1, ask.m)").alias("head"))
+    given = docs.join(asks, "dk").select(F.explode(F.when(F.col("doc_id").isNotNull(), F.col("asks"))).alias("ask"), "text")
+    heads = given.select(F.col("ask.asker").alias("dk"), F.col("ask.m").alias("m"), F.expr("substring(text, 1, ask.m)").alias("head")).repartition("dk")
     # of a repeated next document, the smallest text
     heads = heads.groupBy("dk", "m").agg(F.min("head").alias("head")).groupBy("dk").agg(F.map_from_entries(F.collect_list(F.struct("m", "head"))).alias("heads"))
-    numbered = docs.withColumn("copy", F.row_number().over(Window.partitionBy("dk", "th").orderBy("doc_id")))
+    numbered = docs.withColumn("th", F.xxhash64("text")).withColumn("copy", F.row_number().over(Window.partitionBy("dk", "th").orderBy("doc_id")))
     joined = numbered.join(heads, "dk", "left").withColumn("m", takes)
     head = F.when(F.col("doc_id").isNotNull(), F.try_element_at("heads", F.col("m")))
     edited = F.concat(F.expr("substring(text, 1, length(text) - m)"), F.coalesce(head, F.lit("")))
@@ -118,11 +134,11 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key = ["dk", "th", "copy"]
     both = rows.select(*key, F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("text").alias("x")), F.struct(F.lit(1).alias("e"), F.col("edited").alias("x")))).alias("y"))
     # a text without words keeps one row with a null term
-    words = both.select(*key, F.col("y.e").alias("e"), F.explode_outer(F.filter(F.split("y.x", r"\s+"), lambda w: w != "")).alias("word"))
-    terms = words.select(*key, "e", F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("term")).groupBy(*key, "e", "term").agg(F.count("*").alias("w"))
-    prints = sampled(terms, [*key, "e"]).groupBy(*key).agg(
-        F.min(F.when(F.col("e") == 0, F.col("fingerprint"))).alias("fingerprint"), F.min(F.when(F.col("e") == 1, F.col("fingerprint"))).alias("edited_fingerprint")
-    )
+    words = both.select(*key, F.col("y.e").alias("e"), F.explode_outer(F.array_remove(F.split("y.x", r"\s+"), "")).alias("word"))
+    terms = words.select(*key, "e", F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("term")).groupBy(*key, "term")
+    terms = terms.agg(F.count(F.when(F.col("e") == 0, 1)).alias("w0"), F.count(F.when(F.col("e") == 1, 1)).alias("w1"))
+    lw = [F.when(F.col("term").isNotNull() & (F.col(f"w{e}") > 0), F.log(F.col(f"w{e}").cast("double"))).alias(f"lw{e}") for e in (0, 1)]
+    prints = sampled(terms.select(*key, "term", *lw), key)
     facts = rows.select(*key, "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
     full = durable(facts.join(prints, key).drop(*key))
     after = full.where("doc_id is not null").groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fingerprint").alias("next_fingerprint"))
