@@ -11,8 +11,8 @@ Elements that are never article text (scripts, styles, navigation, asides, forms
 notices, adverts, comments) are taken out first, by name, role, class or id; their
 tags stay in the sequence, so the scan sees where they were, but their words don't.
 The region grows to the blocks it cuts. If the page has article or main elements
-(outermost, not inside what was taken out), the scan runs over each, and a region
-never crosses such an element's end.
+(outermost, not inside what was taken out), what is left inside each is content, and
+the scan isn't used.
 
 Cases: null or empty html, and pages of boilerplate only, give an empty text; broken
 markup is read as a browser would, unclosed elements end with their parent; repeated
