@@ -173,6 +173,15 @@ def test_layers_map_back(how):
     assert any(k == 0 and 3 <= a < b <= 3 + len(x) for a, k, b in added), full
 
 
+@pytest.mark.parametrize("how", list(WRAPS))
+def test_each_place_of_a_repeated_secret(how):
+    x = WRAPS[how]
+    alone = [s for s in secrets.scan(f"né {x} .")[1]]
+    n = len(f"né {x} .\n")
+    full = secrets.scan(f"né {x} .\n" * 3)[1]
+    assert full == sorted((a + i * n, k, b + i * n) for a, k, b in alone for i in range(3))
+
+
 def test_layers_end_and_leave_prose_alone():
     assert secrets.scan("%2525252541 " * 5)[1] == []
     assert secrets.scan("plain words of considerableunbrokenlength and 100% sure")[1] == []
