@@ -10,9 +10,13 @@ or role says of it.
 Elements that are never article text (scripts, styles, navigation, asides, forms,
 notices, adverts, comments) are taken out first, by name, role, class or id; their
 tags stay in the sequence, so the scan sees where they were, but their words don't.
-The region grows to the blocks it cuts. If the page has article or main elements
-(outermost, not inside what was taken out), what is left inside each is content, and
-the scan isn't used.
+The region grows to the blocks it cuts. Article and main elements (outermost, not
+inside what was taken out) with text are evidence on that scan, learned as well: a
+block inside scores more and its own tags cost nothing, crossing the element's edge
+costs. Words outside weigh from fully for content to fully against it, by the share of
+the page's words that such elements hold: a teaser leaves the body of the page its
+weight, a whole article takes it. Further maximal stretches with article text are
+content too. Elements without text are no evidence.
 
 Cases: null or empty html, and pages of boilerplate only, give an empty text; broken
 markup is read as a browser would, unclosed elements end with their parent; repeated
@@ -24,6 +28,7 @@ from __future__ import annotations
 import html as htmllib
 import math
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -73,6 +78,13 @@ LABELLED: list[tuple[str, list[str]]] = [
      "reports, of which two were accepted without changes.<br>The third goes back to its authors.</p><blockquote>We will return with better "
      "figures, they said.</blockquote></div><p><a>terms</a> <a>privacy</a></p></body></html>",
      ["The committee met", "The third goes", "We will return"]),
+    ("<html><body><div>All the news of the valley</div><article><h1>The bridge opens</h1><p>After two winters of work the bridge takes carts "
+     "again.</p><ul><li>Tolls stay as they were.</li><li>Sheep cross before eight.</li></ul><p>The mayor walked over it first.</p></article>"
+     "<div>Printed every week in the old mill</div></body></html>",
+     ["The bridge opens", "After two winters", "Tolls stay", "Sheep cross", "The mayor walked"]),
+    ("<html><body><div>Letters and opinions</div><main><p>A reader asks how to keep bees through a cold spring.</p></main><div><p>Leave them "
+     "their honey, close the hive to a finger's width, and lift it off the wet ground.</p></div><div>Write to us</div></body></html>",
+     ["A reader asks", "Leave them"]),
 ]
 
 
@@ -219,22 +231,36 @@ def _group(tag: str) -> str:
 
 @lru_cache(maxsize=1)
 def weights() -> dict[str, float]:
-    """Log-odds of a word and of each tag group to lie in content, from LABELLED;
-    words are kept above zero and tags below it."""
+    """Log-odds of a word, of each tag group, of a block's place in an article and of
+    an article's edge to lie in content, from LABELLED; words and places are kept above
+    zero, tags and edges below it."""
     inside: dict[str, float] = {}
     outside: dict[str, float] = {}
+
+    def count(good: bool, key: str, n: int = 1) -> None:
+        side = inside if good else outside
+        side[key] = side.get(key, 0) + n
+
     for page, content in LABELLED:
+        last = None
         for b in blocks(page):
             text = "".join(b.text).strip()
             good = any(text.startswith(c) for c in content)
-            for group in (_group(t) for t in b.tags):
-                (inside if good else outside)[group] = (inside if good else outside).get(group, 0) + 1
-            words = len(text.split())
-            (inside if good else outside)["word"] = (inside if good else outside).get("word", 0) + words
-    total = {k: inside.get(k, 0) + outside.get(k, 0) for k in ("word", "prose", "list", "frame")}
+            if not b.zone:
+                for t in b.tags:
+                    count(good, _group(t))
+            count(good, "word", len(text.split()))
+            if text:
+                if b.zone:
+                    count(good, "zone")
+                if last and (last[0] > 0) != (b.zone > 0):
+                    count(good and last[1], "edge")
+                last = (b.zone, good)
+    total = ("word", "prose", "list", "frame", "zone", "edge")
     base = math.log((sum(inside.values()) + 1) / (sum(outside.values()) + 1))
     odds = {k: math.log((inside.get(k, 0) + 0.5) / (outside.get(k, 0) + 0.5)) - base for k in total}
-    return {"word": max(0.2, odds.pop("word"))} | {k: min(-0.05, v) for k, v in odds.items()}
+    up = {k: max(0.2, odds.pop(k)) for k in ("word", "zone")}
+    return up | {k: min(-0.05, v) for k, v in odds.items()}
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -256,23 +282,47 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     w = weights()
-    found = blocks(page)
-    zones = sorted({b.zone for b in found if b.zone}) or [0]
-    parts = []
-    for zone in zones:
-        own = [b for b in found if b.zone == zone]
-        texts = [_SPACE.sub(" ", "".join(b.text)).strip() for b in own]
-        if zone:
-            # inside an article what is left after the taking out is content
-            lo, hi = 0, len(own)
+    own = blocks(page)
+    texts = [_SPACE.sub(" ", "".join(b.text)).strip() for b in own]
+    words = [len(t.split()) for t in texts]
+    share = sum(n for n, b in zip(words, own, strict=True) if b.zone) / max(1, sum(words))
+    stray = w["word"] * (1 - 2 * share)
+    scores: list[float] = []
+    at: list[int] = []  # the block of a score, -1 for an edge
+    last = None
+    for i, (b, n) in enumerate(zip(own, words, strict=True)):
+        if n and last is not None and (b.zone > 0) != (last > 0):
+            scores.append(w["edge"])
+            at.append(-1)
+        if b.zone:
+            scores.append(w["word"] * n + w["zone"] if n else 0.0)
         else:
             # a run of tags without words between them is one boundary: each group once
-            scores = [w["word"] * len(t.split()) + sum(w[g] for g in {_group(x) for x in b.tags}) for b, t in zip(own, texts, strict=True)]
-            lo, hi = best_run(scores)
-            while 0 < lo < hi and own[lo - 1].tags[-1:] and own[lo - 1].tags[-1] in ("h1", "h2", "h3"):
-                lo -= 1  # the heading right above belongs to it
-        parts += [t for t in texts[lo:hi] if t]
-    return " ".join(parts)
+            scores.append(stray * n + sum(w[g] for g in {_group(x) for x in b.tags}))
+        at.append(i)
+        last = b.zone if n else last
+    articles = [i for i, k in enumerate(at) if k >= 0 and own[k].zone and words[k]]
+    runs = []
+    work = [(0, len(scores))]
+    while work:
+        a, z = work.pop()
+        # the best of all, then the best of what is left that holds article text
+        if runs and bisect_left(articles, a) == bisect_left(articles, z):
+            continue
+        lo, hi = best_run(scores[a:z])
+        if lo < hi:
+            runs.append((a + lo, a + hi))
+            work += [(a, a + lo), (a + hi, z)]
+    keep: set[int] = set()
+    for lo, hi in runs:
+        got = [k for k in at[lo:hi] if k >= 0]
+        keep.update(got)
+        # the heading right above belongs to it
+        k = got[0]
+        while k > 0 and own[k - 1].tags[-1:] and own[k - 1].tags[-1] in ("h1", "h2", "h3") and own[k - 1].zone == own[k].zone:
+            k -= 1
+            keep.add(k)
+    return " ".join(texts[k] for k in sorted(keep) if texts[k])
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -374,6 +374,32 @@ def test_main_text(page, want):
     assert htmltext.extract(page) == want
 
 
+BODY = "The miller kept a ledger of every sack that left the yard, and on wet evenings he read it aloud to whoever would stay."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div><p>{BODY}</p></div><article></article>", BODY),
+        (f"<article><nav><a>up</a></nav></article><div><p>{BODY}</p><p>{BODY}</p></div>", f"{BODY} {BODY}"),
+        (f"<article>A short teaser.</article><div><p>{BODY}</p><p>{BODY}</p></div>", f"A short teaser. {BODY} {BODY}"),
+        (f"<div>Welcome to our site</div><article><p>{BODY}</p></article><div>Made by hand in town</div>", BODY),
+        (f"<article><p>{BODY}</p></article><div>{'words between that belong to nobody ' * 2}</div><article>x</article>", f"{BODY} x"),
+        ("<article><table><tr><td>one</td><td>two</td></tr></table><div>z</div></article>", "one two z"),
+    ],
+)
+def test_articles_are_evidence_only(page, want):
+    assert htmltext.extract(page) == want
+
+
+def test_weights_decide_on_pages_with_an_article(monkeypatch):
+    page = f"<article>A short teaser.</article><div><p>{BODY}</p></div>"
+    assert htmltext.extract(page) == f"A short teaser. {BODY}"
+    w = htmltext.weights() | {"frame": -1000.0}
+    monkeypatch.setattr(htmltext, "weights", lambda: w)
+    assert htmltext.extract(page) == "A short teaser."
+
+
 def test_best_run():
     rng = random.Random(0)
     for _ in range(300):
