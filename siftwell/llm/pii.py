@@ -2,15 +2,19 @@
 
 1. One pass finds the base spans of every whole text, and each span's occurrences in
    lexical patterns (two words before; one before and one after; two after, with the
-   identifier's place open). Identifier-like words that no base span covers are
-   candidates and give occurrences of unknown kind. The pass's table, without the
-   texts, is written to the shared folder.
+   identifier's place open). Words end at white space and at the punctuation of JSON,
+   URLs and markup. Outside the base spans, maximal runs of digits and separators
+   (spaces and brackets included) and strings with an @, of any length and within any
+   token, are candidates and give occurrences of unknown kind. A run of several words
+   also gives its beginnings and endings at spaces, as it may hold a number too many;
+   these can be promoted but don't count against a pattern. The pass's table, without
+   the texts, is written to the shared folder.
 2. Spark scores the pattern-instance graph: a pattern's confidence for a kind is its
    distinct instances of that kind over all its distinct instances plus one. A
    candidate is promoted if patterns of at least ``least_conf`` and ``least_seeds``
    instances give a noisy-or of at least ``least_conf``. Promoted instances count as
    instances of their kind in the next round.
-3. Spans of promoted instances join the base spans.
+3. Spans of promoted instances join the base spans, the outermost where they nest.
 
 Random contexts are shared by all kinds and stay below the bar; what is found is what
 labels such as "card no" or "reach me at" introduce.
@@ -24,9 +28,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -42,9 +47,17 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"\S+")
+_TOKEN = re.compile(r"[^\s\"'`{}()\[\]<>:;,=&?/|]+")
+#: Digits with separators between them, not within a word; a full stop only inside a number.
+_RUN = re.compile(r"(?<![\w@])(?:\+\(?|\(\+?)?[0-9](?:(?:[\x20\u00a0()/-]|\.(?=[0-9(])|(?<=[0-9])\+(?=[0-9]))*[0-9])*(?![\w@])")
+_PART = re.compile(r"[^\x20\u00a0]+")
+#: Beyond so many digits a run of several words is more than one number.
+MOST_DIGITS = 19
 _TRIM = "\"'`.,;:!?()[]{}<>*#$%&=|~"
 
+#: Kind of an occurrence that doesn't count against its patterns, less its shape.
+WEAK = -12
+
 OCC = "array<struct<pattern:string,instance:string,kind:int,s:int,e:int>>"
 SCAN = f"doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans array<struct<s:int,k:int,e:int>>, occ {OCC}"
 
@@ -101,14 +114,14 @@ def written(spans) -> str:
 
 
 def _likely_kind(word: str) -> int:
-    """The kind whose shape an uncovered word has, -1 for none: the shape gate that a
-    promoted instance must pass."""
+    """The kind whose shape an uncovered word or run has, -1 for none: the shape gate
+    that a promoted instance must pass."""
     digits = sum("0" <= c <= "9" for c in word)
     if "@" in word[1:-1]:
         return 0
     if digits >= 4 and word.count(".") == 3 and digits + 3 == len(word):
         return 1
-    if digits >= 7 and digits + sum(c in "-+()./" for c in word) == len(word):
+    if digits >= 7 and digits + sum(c in "-+()./\x20\u00a0" for c in word) == len(word):
         return 3 if word[0] == "+" or digits < 12 else 2
     return -1
 
@@ -118,38 +131,74 @@ def _word(text: str, m) -> str:
     return re.sub("[0-9]", "9", w)[:40]
 
 
+def _of_run(text: str, s: int, e: int) -> list[tuple[int, int, int, bool]]:
+    """Candidates of one run of digits and separators."""
+
+    def trimmed(s: int, e: int) -> tuple[int, int]:
+        while not "0" <= text[e - 1] <= "9":
+            e -= 1
+        while s < e and text[s] not in "+(0123456789" or text[s] == "(" and ")" not in text[s:e]:
+            s += 1
+        return s, e
+
+    def digits(s: int, e: int) -> int:
+        return len(_DIGIT.findall(text, s, e))
+
+    parts = [trimmed(*m.span()) for m in _PART.finditer(text, s, e) if _DIGIT.search(m.group())]
+    whole = trimmed(s, e)
+    if len(parts) == 1:
+        parts = [whole]
+    # a word that is an identifier by itself makes the run around it the doubtful one
+    long = any(digits(*p) >= 10 for p in parts)
+    fits = digits(*whole) <= MOST_DIGITS
+    found = {p: len(parts) == 1 or long or not fits for p in parts}
+    if len(parts) > 1:
+        if fits:
+            found[whole] = not long
+        for some, of in ((parts, lambda p: (parts[0][0], p[1])), (parts[::-1], lambda p: (p[0], parts[-1][1]))):
+            n = 0
+            for p in some:
+                n += digits(*p)
+                if n > MOST_DIGITS:
+                    break
+                found.setdefault(trimmed(*of(p)), False)
+    kinds = {p: _likely_kind(text[p[0] : p[1]]) for p in found}
+    return [(*p, kinds[p], sure) for p, sure in found.items() if kinds[p] >= 0]
+
+
+def candidates(text: str, spans) -> list[tuple[int, int, int, bool]]:
+    """(start, end, shape, whether it counts against a pattern) outside the base spans."""
+    out: list[tuple[int, int, int, bool]] = []
+    at = 0
+    for s, _, e in [*sorted(spans), (len(text), 0, len(text))]:
+        if at < s:
+            for m in _RUN.finditer(text, at, s):
+                out += _of_run(text, *m.span())
+            if text.find("@", at, s) >= 0:
+                for m in _TOKEN.finditer(text, at, s):
+                    w = m.group().strip(_TRIM)
+                    if "@" in w[1:-1]:
+                        b = m.start() + m.group().index(w)
+                        out.append((b, b + len(w), 0, True))
+        at = max(at, e)
+    return out
+
+
 def occurrences(text: str, spans) -> list[tuple[str, str, int, int, int]]:
-    """(pattern, instance, kind or -1 - shape, start, end) of the spans and candidates."""
+    """(pattern, instance, kind, start, end) of the spans and candidates; kind is
+    -2 - shape for a candidate, WEAK - shape for one that doesn't count against."""
     out: list[tuple[str, str, int, int, int]] = []
     if not _DIGIT.search(text) and "@" not in text:
         return out
+    todo = [(s, e, k) for s, k, e in spans] + [(s, e, (-2 if sure else WEAK) - k) for s, e, k, sure in candidates(text, spans)]
+    if not todo:
+        return out
     tokens = list(_TOKEN.finditer(text))
-    todo = []  # (start, end, kind, first token, last token)
-    j = 0
-    covered = set()
-    for s, k, e in spans:
-        while j < len(tokens) and tokens[j].end() <= s:
-            j += 1
-        i = last = j
-        while i < len(tokens) and tokens[i].start() < e:
-            covered.add(i)
-            last = i
-            i += 1
-        todo.append((s, e, k, j, last))
-    for i, m in enumerate(tokens):
-        if i in covered:
-            continue
-        raw = m.group()
-        if len(raw) > 64 or not ("@" in raw or _DIGIT.search(raw)):
-            continue
-        w = raw.strip(_TRIM)
-        kind = _likely_kind(w) if w else -1
-        if kind >= 0:
-            s = m.start() + raw.index(w)
-            todo.append((s, s + len(w), -1 - kind - 1, i, i))
-    for s, e, k, a, b in todo:
+    starts, ends = [m.start() for m in tokens], [m.end() for m in tokens]
+    for s, e, k in todo:
+        a, b = bisect_right(ends, s), bisect_left(starts, e)
         before = [_word(text, t) for t in tokens[max(0, a - 2) : a]]
-        after = [_word(text, t) for t in tokens[b + 1 : b + 3]]
+        after = [_word(text, t) for t in tokens[b : b + 2]]
         inst = text[s:e].lower()
         ctx = []
         if len(before) == 2:
@@ -192,19 +241,24 @@ def scanned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return narrow.mapInArrow(run, SCAN)
 
 
+def _shape(kind):
+    return F.when(kind <= WEAK, WEAK - kind).otherwise(-2 - kind)
+
+
 def promoted(scan: DataFrame, rounds: int = 2, least_seeds: int = 5, least_conf: float = 0.9) -> DataFrame:
     """(instance, shape, kind) of candidates that the pattern graph supports."""
     occ = scan.select(F.explode("occ").alias("o")).select("o.pattern", "o.instance", "o.kind")
     edges = durable(occ.distinct())
     seeds = edges.where("kind >= 0").select("pattern", "instance", "kind")
-    unknown = edges.where("kind < 0").select("pattern", "instance", (-F.col("kind") - 2).alias("shape"))
+    unknown = edges.where("kind < 0").groupBy("pattern", "instance", _shape(F.col("kind")).alias("shape")).agg(F.max(F.col("kind") > WEAK).alias("sure"))
     won = None
     for _ in range(rounds):
         labelled = seeds.select("pattern", "instance", "kind")
-        rest = unknown
+        known = unknown.where("sure")
+        rest = known
         if won is not None:
-            labelled = labelled.unionByName(unknown.join(won, ["instance", "shape"]).select("pattern", "instance", "kind"))
-            rest = unknown.join(won, ["instance", "shape"], "left_anti")
+            labelled = labelled.unionByName(known.join(won, ["instance", "shape"]).select("pattern", "instance", "kind"))
+            rest = known.join(won, ["instance", "shape"], "left_anti")
         counted = labelled.unionByName(rest.select("pattern", "instance", F.lit(-1).alias("kind")))
         # candidates of any shape count against a pattern
         per = counted.groupBy("pattern").agg(
@@ -225,9 +279,12 @@ def promoted(scan: DataFrame, rounds: int = 2, least_seeds: int = 5, least_conf:
 def extra_spans(scan: DataFrame, won: DataFrame) -> DataFrame:
     """(doc_id, th, extra): spans of promoted instances, per distinct document text."""
     occ = scan.select("doc_id", "th", F.explode("occ").alias("o")).where("o.kind < 0")
-    at = occ.select("doc_id", "th", F.col("o.instance").alias("instance"), (-F.col("o.kind") - 2).alias("shape"), "o.s", "o.e").distinct()
+    at = occ.select("doc_id", "th", F.col("o.instance").alias("instance"), _shape(F.col("o.kind")).alias("shape"), "o.s", "o.e").distinct()
+    w = Window.partitionBy("doc_id", "th").orderBy("s", F.col("e").desc()).rowsBetween(Window.unboundedPreceding, -1)
     return (
         at.join(won, ["instance", "shape"])
+        .withColumn("reach", F.max("e").over(w))
+        .where("reach is null or e > reach")
         .groupBy("doc_id", "th")
         .agg(F.array_sort(F.collect_set(F.struct(F.col("s"), F.col("kind").alias("k"), F.col("e")))).alias("extra"))
     )

@@ -228,6 +228,40 @@ def test_patterns_find_unseen_identifiers(spark, docs_schema):
     assert "4000111122223333" not in masked[100] and masked[101] == rows[41][1]
 
 
+def test_candidates_are_runs_not_tokens():
+    def got(text):
+        return {(text[s:e], k) for s, e, k, _ in pii.candidates(text, pii.find(text))}
+
+    assert ("(555) 123-4567", 3) in got("reach me (555) 123-4567 or not")
+    assert ("4000 1111 2222 3333", 2) in got("card no 4000 1111 2222 3333, end")
+    assert ("5551234567", 3) in got('{"a":"' + "x" * 90 + '","tel":"5551234567","b":2}')
+    assert ("5551234567", 3) in got("https://example.org/" + "p" * 80 + "?tel=5551234567&x=1")
+    assert ("555 123 4567", 3) in got("call 555 123 4567 20 times") and ("5551234567", 3) in got("call 5551234567 20 times")
+    assert ("b" * 80 + "@host", 0) in got("to " + "b" * 80 + "@host now")
+    assert got("call 5551234567. 12 of them") == {("5551234567", 3)} and got("id a5551234567b") == set()
+    assert len(pii.candidates("1 " * 30_000, [])) < 60 and pii.candidates("a" * 90_000 + "1", []) == []
+
+
+def test_patterns_find_spaced_identifiers(spark, docs_schema):
+    rng = random.Random(2)
+    noise = [f"w{chr(97 + i)}" for i in range(20)]
+
+    def filler(n):
+        return " ".join(rng.choice(noise) for _ in range(n))
+
+    rows = [(i, f"{filler(8)} reach me +1 ({200 + i}) 555-{1000 + i} today {filler(5)}", "en", "s", 0) for i in range(40)]
+    rows += [(100, f"{filler(5)} reach me (555) 123-4567 today {filler(5)}", "en", "s", 0)]
+    rows += [(101, f'{filler(5)} {{"reach":"me","x":1}} {{"reach me":"5559876543","today":2}} {filler(2)}', "en", "s", 0)]
+    rows += [(102, f"{filler(5)} (555) 123-4568 {filler(5)}", "en", "s", 0)]
+    df = spark.createDataFrame(rows, docs_schema)
+    got = {r["doc_id"]: r for r in pii.detect(df).collect()}
+    at = rows[40][1].index("(555)")
+    assert got[100]["spans"] == f"phone:{at}:{at + 14}" and got[100]["n_extra"] == 1
+    assert got[101]["n_extra"] == 1 and got[102]["n_extra"] == 0
+    masked = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert "reach me [PHONE] today" in masked[100] and "5559876543" not in masked[101]
+
+
 def test_masking():
     assert pii.masked("ab x@y.de cd", [(3, 0, 9)]) == "ab [EMAIL] cd"
     assert pii.masked("abcdef", [(1, 2, 4), (2, 3, 5)]) == "a[CARD]f"
