@@ -213,6 +213,52 @@ def research(s, d):
     return G.research(R.ranked(_seeds(s, d), 1 << 30), _net(s, d), 8)
 
 
+
+# the same over all edges: queries 0.. have the nations as seeds, 100.. the two orders of
+# most lines and 200.. the two customers of most orders in a nation, so all kinds are met
+_ALL_SEEDS = """lines AS (SELECT c_nationkey AS n, l_orderkey AS k, count(*) AS c FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+placed AS (SELECT c_nationkey AS n, c_custkey AS k, count(*) AS c FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+tops AS (SELECT 100 + n AS query_id, 'order:' || k AS unit_id, c FROM lines UNION ALL SELECT 200 + n, 'customer:' || k, c FROM placed),
+seeds AS (SELECT n_regionkey AS query_id, 'nation:' || n_nationkey AS unit_id, round(count(c_custkey) / 1000.0, 6) AS score FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2
+  UNION ALL SELECT query_id, unit_id, round(c / 1000.0, 6) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, unit_id) AS rn FROM tops) WHERE rn <= 2),
+rs AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM seeds)"""
+
+_ALL_GS = f"""WITH {EDGES}, {_ALL_SEEDS},
+st AS (SELECT DISTINCT source, target, kind FROM valid),
+w1 AS (SELECT source AS frm, target AS dest, kind FROM st UNION ALL SELECT target, source, kind FROM st),
+via AS (SELECT query_id, dest AS unit_id, round(score * CASE kind WHEN 'calls' THEN 0.7 WHEN 'contains' THEN 0.5 WHEN 'imports' THEN 0.3 ELSE 0.4 END, 6) AS score FROM seeds JOIN w1 ON frm = unit_id),
+al AS (SELECT query_id, unit_id, score FROM seeds UNION ALL SELECT * FROM via),
+b AS (SELECT query_id, unit_id, max(score) AS score FROM al GROUP BY 1, 2),
+bb AS (SELECT b.*, NOT EXISTS (SELECT 1 FROM seeds s WHERE s.query_id = b.query_id AND s.unit_id = b.unit_id AND s.score = b.score) AS via_graph FROM b),
+gr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM bb)"""
+
+
+def _all_seeds(s, d):
+    c, o = C.table(s, d, "customer").select("c_custkey", "c_nationkey"), C.table(s, d, "orders").select("o_orderkey", "o_custkey")
+    placed = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    lines = C.table(s, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("c")).join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
+    tops = lines.select((F.col("c_nationkey") + 100).alias("query_id"), _id("order", "l_orderkey").alias("unit_id"), "c").unionByName(
+        placed.groupBy((F.col("c_nationkey") + 200).alias("query_id"), _id("customer", "c_custkey").alias("unit_id")).agg(F.count("*").alias("c"))
+    )
+    scored = tops.select("query_id", "unit_id", F.round(F.col("c") / 1000.0, 6).alias("score"))
+    two = R.ranked(scored, 2)
+    return _seeds(s, d).unionByName(two.select("query_id", "unit_id", "score"))
+
+
+def _all_edges(s, d):
+    return G.valid(_edges(s, d), _ids(s, d))
+
+
+@query("graph_search_whole", f"{_ALL_GS} SELECT query_id, CAST(rank AS BIGINT) AS rank, unit_id, score, via_graph FROM gr WHERE rank <= 16")
+def graph_search_whole(s, d):
+    return G.graph_search(_all_seeds(s, d), _all_edges(s, d), 16)
+
+
+@query("research_whole", SQL["research"].replace(_GS, _ALL_GS))
+def research_whole(s, d):
+    return G.research(R.ranked(_all_seeds(s, d), 1 << 30), _all_edges(s, d), 8)
+
+
 # lines: pages cut behind each tag
 
 RULES = [("section", r"<(article|nav|footer|div)[ >]?"), ("block", r"<(h1|ul|p)$")]
