@@ -182,6 +182,18 @@ def test_each_place_of_a_repeated_secret(how):
     assert full == sorted((a + i * n, k, b + i * n) for a, k, b in alone for i in range(3))
 
 
+@pytest.mark.parametrize("pack", ["gzip", "zlib", "bz2", "xz", "zstd"])
+def test_members_behind_the_first(pack):
+    import bz2
+    import lzma
+
+    import zstandard
+
+    f = {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.ZstdCompressor().compress}[pack]
+    x = B64(f(b"nothing in the first one\n") + f(SECRET.encode())).decode()
+    assert (3, 0, 3 + len(x.rstrip("="))) in [(a, k, min(b, 3 + len(x.rstrip("=")))) for a, k, b in secrets.scan(f"né {x} .")[1]]
+
+
 def test_layers_end_and_leave_prose_alone():
     assert secrets.scan("%2525252541 " * 5)[1] == []
     assert secrets.scan("plain words of considerableunbrokenlength and 100% sure")[1] == []
