@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,3 +42,17 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def pieces_of(batches, *texts: int, size: int = 1 << 22):
+    """The record batches cut into slices whose text columns (by number) hold about size
+    bytes, one row at least, so that what is made of a slice stays small beside it."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends = sum(np.cumsum(pc.fill_null(pc.binary_length(b.column(t)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) for t in texts)
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield b.slice(at, to - at)
+            at = to

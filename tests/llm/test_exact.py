@@ -313,6 +313,100 @@ def test_near_duplicates_equal_brute_force(spark, docs_schema):
     assert 20 <= five <= len(texts)
 
 
+def _brute_components(texts, width, percent=80):
+    sets = [neardup.shingles(neardup.words_of(t), width) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))]
+
+
+@pytest.fixture(scope="module")
+def dense(docs_schema):
+    """220 copies of one text at graded edits, few of which are links, and a few others."""
+    rng = random.Random(11)
+    base = [f"b{rng.randrange(5000)}" for _ in range(120)]
+    texts = []
+    for i in range(220):
+        t = list(base)
+        for _ in range(2 + i // 14):
+            t[rng.randrange(len(t))] = f"e{rng.randrange(40)}"
+        texts.append(" ".join(t))
+    return texts + [" ".join(f"o{rng.randrange(99)}" for _ in range(50)) for _ in range(10)]
+
+
+@pytest.mark.parametrize(("parts", "broadcast"), [(1, 50_000), (50, 0)])
+def test_dense_regions_equal_brute_force(spark, docs_schema, monkeypatch, dense, parts, broadcast):
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(neardup, "POSTING", 64)
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(dense)], docs_schema)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in neardup.group(df).collect()}
+        want = _brute_components(dense, 2)
+        assert [got[i] for i in range(len(dense))] == want and 3 < len(set(want)) < len(dense) - 50
+        five = _brute_components(dense, 5)
+        assert {r["doc_id"] for r in neardup.deduplicated(df).collect()} == set(five)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_prefix_filter_finds_all(spark, dense):
+    """Without any candidate of the forest, the completion alone gives every link."""
+    from pyspark.sql import functions as F
+
+    nodes = spark.createDataFrame(list(enumerate(dense)), "nid long, text string")
+    got = {(r["a"], r["b"]) for r in neardup.between_dense(nodes.select("nid"), None, nodes, 2, 80).collect()}
+    sets = [neardup.shingles(neardup.words_of(t), 2) for t in dense]
+    links = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert links <= got and len(got) < len(dense) * (len(dense) - 1) // 4
+    same = nodes.select("nid", F.lit(5).cast("long").alias("label"))
+    assert neardup.between_dense(nodes.select("nid"), same, nodes, 2, 80).count() == 0
+
+
+def test_levels_go_deeper_and_cross_borders():
+    """Sorted rows give the same pairs whatever the batches, and equal prefixes go on."""
+    rng = np.random.default_rng(3)
+    rows = np.stack([np.sort(rng.integers(0, 4, 300)), rng.integers(0, 30, 300), np.arange(300)]).astype(np.int64)
+    rows[1, 100:120] = 7
+    rows = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
+
+    def found(size):
+        import pyarrow as pa
+
+        it = (pa.RecordBatch.from_arrays([pa.array(r[at : at + size]) for r in rows], ["key", "t0", "nid"]) for at in range(0, 300, size))
+        out = [x for b in neardup._neighbours(it, 0, False) for x in b.to_pylist()]
+        return {k: {(x["a"], x["b"]) for x in out if x["kind"] == k} for k in (neardup.PAIR, neardup.DEEPER, neardup.DENSE)}
+
+    whole = found(300)
+    key, tail = rows[0], rows[1]
+    runs = collections.Counter(zip(key.tolist(), tail.tolist(), strict=True))
+    deep = {int(i) for k, t, i in rows.T if runs[(int(k), int(t))] > neardup.REACH + 1}
+    assert {a for a, _ in whole[neardup.DEEPER]} == deep and len(deep) >= 20
+    assert len(whole[neardup.DENSE]) == 300
+    for size in (1, 5, 64):
+        some = found(size)
+        assert whole[neardup.PAIR] <= some[neardup.PAIR] and some[neardup.DEEPER] == whole[neardup.DEEPER] and some[neardup.DENSE] == whole[neardup.DENSE]
+
+
+def test_repeated_rows_go_and_wordless_ones_stay(spark, docs_schema):
+    t = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, t, "en", "s", 1)] * 3 + [(2, t, "en", "s", 1), (3, None, "en", "s", 0), (3, None, "en", "s", 0), (4, "", "x", "s", 0), (4, "", "x", "s", 0), (5, "other words here", "en", "s", 0), (5, "other words here", "de", "s", 0)]
+    got = sorted(r["doc_id"] for r in neardup.deduplicated(spark.createDataFrame(rows, docs_schema)).collect())
+    assert got == [1, 3, 3, 4, 4, 5]
+
+
 def test_components_beyond_one_task(spark, monkeypatch):
     rng = random.Random(4)
     e = {tuple(sorted((rng.randint(0, 500), rng.randint(0, 500)))) for _ in range(420)} | {(i, i + 1) for i in range(900, 1000)}
