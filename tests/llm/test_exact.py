@@ -416,32 +416,68 @@ def test_components_beyond_one_task(spark, monkeypatch):
     assert {r["nid"]: r["label"] for r in neardup.components(df).collect()} == one
 
 
-def _xx(*xs: int) -> int:
+def _xx(*xs) -> int:
+    """Spark's xxhash64 of longs, and of an int given as (int,)."""
     seed = 42
     for x in xs:
-        seed = xxhash.xxh64_intdigest(struct.pack("<q" if x < 1 << 63 and x >= -(1 << 63) else "<Q", x), seed & ((1 << 64) - 1))
+        seed = xxhash.xxh64_intdigest(struct.pack("<i", x[0]) if isinstance(x, tuple) else struct.pack("<q", x), seed)
     return seed - (1 << 64) if seed >= 1 << 63 else seed
 
 
+def _linear(values: list[float], u: int) -> float:
+    cell, part = u >> 11, ((u & 2047) + 0.5) / 2048
+    return values[cell] + part * (values[cell + 1] - values[cell])
+
+
+def _draws(term: int, k: int) -> tuple[float, float, float]:
+    h = _xx(term, (k,))
+    u = [h >> 21 * i & ((1 << 21) - 1) for i in range(3)]
+    y = math.sqrt(2 * (u[1] + 0.5) / (1 << 21))
+    low = math.log(y * (1 + y * (1 / 3 + y * (11 / 72))))
+    return _linear(weighted.QUANTILES, u[0]), low if u[1] < 2048 else _linear(weighted.LOGS, u[1]), (u[2] + 0.5) / (1 << 21)
+
+
+def _sample(terms: dict[int, int], k: int) -> int:
+    best = None
+    for term, w in terms.items():
+        r, lc, b = _draws(term, k)
+        t = math.floor(math.log(w) / r + b)
+        place = math.floor((lc - r * (t - b + 1) + 8192) * (1 << 24))
+        code = (place << 24) | (_xx(term, t) & ((1 << 24) - 1))
+        best = code if best is None else min(best, code)
+    return best & ((1 << 24) - 1)
+
+
 def _fingerprint(text: str) -> str:
-    terms = collections.Counter(text.split())
-    out = []
-    for k in range(weighted.SAMPLES if terms else 0):
-        best = None
-        for word, w in terms.items():
-            term = xxhash.xxh64_intdigest(word.encode(), 42)
-            term = term - (1 << 64) if term >= 1 << 63 else term
-            h1 = xxhash.xxh64_intdigest(struct.pack("<i", k), xxhash.xxh64_intdigest(struct.pack("<q", term), 42))
-            s1 = h1 - (1 << 64) if h1 >= 1 << 63 else h1
-            h2 = _xx(s1, term) & ((1 << 64) - 1)
-            d = [[((h >> 21 * i & ((1 << 21) - 1)) + 0.5) / (1 << 21) for i in range(3)] for h in (h1, h2)]
-            r, lc, b = -math.log(d[0][0] * d[0][1]), math.log(-math.log(d[1][0] * d[1][1])), d[0][2]
-            t = math.floor(math.log(w) / r + b)
-            place = math.floor((lc - r * (t - b + 1) + 8192) * (1 << 24))
-            code = (max(0, min((1 << 39) - 1, place)) << 24) | (_xx(term, t) & ((1 << 24) - 1))
-            best = code if best is None else min(best, code)
-        out.append(f"{best & ((1 << 24) - 1):06x}")
-    return "".join(out)
+    counts = collections.Counter(text.split())
+    terms = {_xx_text(word): w for word, w in counts.items()}
+    return "".join(f"{_sample(terms, k):06x}" for k in range(weighted.SAMPLES if terms else 0))
+
+
+def _xx_text(word: str) -> int:
+    term = xxhash.xxh64_intdigest(word.encode(), 42)
+    return term - (1 << 64) if term >= 1 << 63 else term
+
+
+@pytest.mark.parametrize(("a", "b"), [({1: 1, 2: 1, 3: 1}, {2: 1, 3: 1, 4: 1}), ({1: 5, 2: 1}, {1: 2, 2: 3}), ({1: 40, 2: 9, 3: 1}, {1: 30, 2: 12, 4: 2}), ({1: 1}, {1: 7}), ({1: 2000, 2: 1000}, {1: 1000, 2: 1100})])
+def test_collisions_equal_generalised_jaccard(a, b):
+    n = 6000
+    keys = a.keys() | b.keys()
+    want = sum(min(a.get(x, 0), b.get(x, 0)) for x in keys) / sum(max(a.get(x, 0), b.get(x, 0)) for x in keys)
+    hit = sum(_sample(a, k) == _sample(b, k) for k in range(n)) / n
+    assert abs(hit - want) < 4 * math.sqrt(want * (1 - want) / n) + 0.002
+
+
+def test_quantiles():
+    for i in (1, 10, 500, 1000, 1023):
+        x = weighted.QUANTILES[i]
+        assert 1 - (1 + x) * math.exp(-x) == pytest.approx(i / 1024, abs=1e-9)
+
+
+def test_next_ids_with_outliers(spark):
+    ids = [-(1 << 60), -5, *range(100), 10**9, 1 << 61]
+    got = {r["doc_id"]: r["next_id"] for r in weighted.next_ids(spark.createDataFrame([(i,) for i in ids + ids[:3]], "doc_id long")).collect()}
+    assert got == dict(zip(ids, [*ids[1:], ids[0]], strict=True))
 
 
 def test_fingerprints_equal_brute_force(spark, docs_schema):
