@@ -28,15 +28,37 @@ ODD = st.lists(st.sampled_from([*"ab1 .,\n\t▁é漢🙂'<|>_\x00　", "the", "
 
 
 @settings(max_examples=300, deadline=None)
-@given(ODD)
-def test_pieces_equal_the_library(text):
-    ((ids, back),) = pieces.encode_texts([text], PIECE, 50)
+@given(ODD, st.booleans())
+def test_pieces_equal_the_library(text, tabled):
+    t = pieces.chunk_table(PIECE)
+    t.clear()
+    if tabled:
+        t.update(t.segmented(["", "the", "a", "ab1", " ", ",\n"]))
+    ((ids, back),) = pieces.encode_texts([text], t)
     want = SP.encode(text)
     assert ids == ",".join(map(str, want)) and back == SP.decode(want)
+    t.clear()
 
 
 def test_the_model_allows_chunks():
-    assert pieces.chunk_table(PIECE, 50).splits
+    proto = SP.serialized_model_proto()
+    assert pieces.chunk_table(PIECE).splits and pieces.marks_only(proto)
+    # remove_extra_whitespaces set in a second normalizer_spec, which is merged into the first
+    assert not pieces.marks_only(proto + b"\x1a\x02\x20\x01") and not pieces.marks_only(proto + b"\x1a\x03\x12\x01x")
+
+
+@pytest.mark.parametrize("rows", [0, 40, 1 << 17])
+def test_pieces_of_a_table_equal_the_library(spark, docs_schema, rows):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["the", "naïve", "x\ny", "漢字", "", "▁▁", *[f"r{i}" for i in range(300)]]) for _ in range(rng.choice([0, 1, 60, 900]))) for _ in range(60)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], docs_schema)
+    got = {r["doc_id"]: r for r in pieces.encode(df, PIECE, table_rows=rows, with_ids=True).collect()}
+    assert pieces.frequent(df.select("text"), PIECE, rows).count() == min(rows, pieces.frequent(df.select("text"), PIECE).count())
+    for i, x in enumerate(texts):
+        ids = SP.encode(x)
+        assert got[i]["ids"] == ids and got[i]["decoded"] == SP.decode(ids) and got[i]["n_tokens"] == len(ids)
+        assert got[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256(SP.decode(ids).encode()).hexdigest()
 
 
 @settings(max_examples=300, deadline=None)
