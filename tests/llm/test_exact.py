@@ -554,6 +554,29 @@ def test_top_k_equals_brute_force(spark):
         assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == [(n + 1, i, -a) for n, (a, i) in enumerate(want)]
 
 
+def test_ball_trees_prune_and_stay_exact():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 12)) * 900
+    v = np.floor(centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 12)) * 40)
+    ids, tree = np.arange(3000) * 3, topk.Tree(v, 32)
+    for node, left in enumerate(tree.left):
+        rows = tree.order[tree.lo[node] : tree.hi[node]]
+        assert np.sqrt(((v[rows] - tree.centre[node]) ** 2).sum(axis=1)).max() <= tree.radius[node]
+        if left >= 0:
+            assert (tree.lo[left], tree.hi[left], tree.hi[left + 1]) == (tree.lo[node], tree.lo[left + 1], tree.hi[node])
+    q, q_ids = v[:90], ids[:90]
+    best = topk.Best(90, 5)
+    seen = topk.search(q, q_ids, ids, tree, best, np.full(90, -np.inf))
+    for i in range(90):
+        s = v @ q[i]
+        want = sorted((-s[j], ids[j]) for j in range(3000) if j != i)[:5]
+        assert list(zip(-best.score[i], best.ids[i], strict=True)) == want
+    assert seen < 90 * 3000 / 3
+    # a bar that others have set prunes more, and what reaches it is still found
+    again = topk.Best(90, 5)
+    assert topk.search(q, q_ids, ids, tree, again, best.score[:, -1].copy()) < seen and (again.score == best.score).all() and (again.ids == best.ids).all()
+
+
 def _archive(records):
     out = io.BytesIO()
     a = warc.Archive(out, warc.dictionary(records * 20))
