@@ -2,13 +2,13 @@
 
 The page becomes one sequence of words and tags. Words score +w, tags -t, and a
 linear scan finds the contiguous stretch with the best sum: the content region.
-w and t are learned from labelled pages (``LABELLED``: small pages written for this
-module, each token marked as content or not) as log-odds of a word, and of each
-group of tags, to lie in content. A tag's group is its name and what its class, id
-or role says of it.
+w and t are learned from labelled pages (``pagelabels``: 300 pages of real size made by
+rule, each block marked as content or not) as log-odds of a word, and of each group of
+tags, to lie in content.
 
 Elements that are never article text (scripts, styles, navigation, asides, forms,
-notices, adverts, comments) are taken out first, by name, role, class or id; their
+notices, adverts, comments) are taken out first, by name, role, or a class or id all of
+whose parts say so; within an article only by the plainest of these. Their
 tags stay in the sequence, so the scan sees where they were, but their words don't.
 The region grows to the blocks it cuts. Article and main elements (outermost, not
 inside what was taken out) with text are evidence on that scan, learned as well: a
@@ -19,8 +19,9 @@ weight, a whole article takes it. Further maximal stretches with article text ar
 content too. Elements without text are no evidence.
 
 Cases: null or empty html, and pages of boilerplate only, give an empty text; broken
-markup is read as a browser would, unclosed elements end with their parent; repeated
-rows give repeated rows; further columns are ignored.
+markup is read as a browser would, unclosed elements end with their parent, at any depth;
+long pages are read whole in time proportional to their length; repeated rows give
+repeated rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +30,16 @@ import html as htmllib
 import math
 import re
 from bisect import bisect_left
+from collections import defaultdict
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces_of
+from .pagelabels import pages as labelled_pages
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 DROP = frozenset(
@@ -46,46 +51,37 @@ INLINE = frozenset(
     "strike strong sub sup time tt u var wbr".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
-_BAD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|advertorial|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|"
-    r"popup|modal|overlay|newsletter|subscribe|subscription|signup|login|sidebars?|side|aside|nav(?:bar|igation)?|menus?|breadcrumbs?|"
-    r"footers?|foot|site-?header|page-?header|masthead|topbar|comments?|commentlist|disqus|replies|reply|respond|"
-    r"related|recommended|share|sharing|social|widgets?|toolbar|pagination|pager|skip(?:-link)?|copyright|legal|disclaimer|"
-    r"tags?|rating|alert)(?:$|[\s_-])"
+#: Parts of class and id names of what is no article text. A name tells if one of its
+#: parts is in NOISE and all others are in NOISE or PLAIN: ``cookie-notice``, not ``share-price``.
+NOISE = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising advertorial sponsor sponsored sponsors promo promos promotion banner "
+    "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login sidebar sidebars nav navbar "
+    "navigation menu menus breadcrumb breadcrumbs footer footers masthead topbar comment comments commentlist disqus replies respond related "
+    "recommended recommendations sharing share social widget widgets toolbar pagination pager skip copyright disclaimer".split()
+)
+PLAIN = frozenset(
+    "bar box block list section wrapper wrap container content inner outer area item items links link row col column panel group main site page "
+    "top bottom left right primary secondary global header message buttons button icons form area text title unit slot reader user to in up".split()
 )
+#: Outside an article these tell as well.
+NOISE_OUTSIDE = NOISE | frozenset("side aside foot tag tags alert legal rating reply header".split())
 _SPLIT = re.compile(r"([a-z0-9])([A-Z])")
+_PARTS = re.compile(r"[^a-z]+")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?")
 _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _SPACE = re.compile(r"\s+")
-#: What an open element of the first name ends at, besides its own end tag.
-_CLOSES = {
-    "p": frozenset(
-        "p div ul ol dl table section article aside nav header footer main form h1 h2 h3 h4 h5 h6 pre blockquote hr figure address details fieldset".split()
-    ),
-    "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]),
-    "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"]),
+#: What a start tag ends, unless one of the second set is open within it. Fixed values of HTML.
+_P_STOPS = frozenset("button table td th caption li dd dt div section article aside main blockquote body".split())
+_P = ("p", _P_STOPS)
+_TABLE = frozenset(["table"])
+_ENDS: dict[str, list[tuple[str, frozenset[str]]]] = {
+    **dict.fromkeys("p div ul ol dl table section article aside nav header footer main form h1 h2 h3 h4 h5 h6 pre blockquote hr figure address details fieldset".split(), [_P]),
+    "li": [("li", frozenset(["ul", "ol"])), _P], "dt": [("dt", frozenset(["dl"])), ("dd", frozenset(["dl"])), _P],
+    "dd": [("dt", frozenset(["dl"])), ("dd", frozenset(["dl"])), _P], "tr": [("tr", _TABLE), ("td", _TABLE), ("th", _TABLE)],
+    "td": [("td", _TABLE), ("th", _TABLE)], "th": [("td", _TABLE), ("th", _TABLE)], "option": [("option", frozenset(["select"]))],
 }
-
-LABELLED: list[tuple[str, list[str]]] = [
-    ("<html><body><div><a>home</a><a>news</a></div><div><h1>A quiet harbour town</h1><p>The boats came back before noon and the market filled "
-     "with people who had waited since dawn.</p><p>Nobody spoke of the storm until the last crate was sold.</p></div><div><a>about</a></div></body></html>",
-     ["A quiet harbour town", "The boats came back", "Nobody spoke of"]),
-    ("<html><body><ul><li><a>one</a></li><li><a>two</a></li><li><a>three</a></li></ul><h2>Growing beans</h2><p>Plant them <b>early</b>, in rows "
-     "that run north to south, and water them in the evening.</p><ul><li>Use poles of two metres.</li><li>Pick every second day.</li></ul>"
-     "<div><span>7</span><a>more</a><a>next</a></div></body></html>",
-     ["Growing beans", "Plant them", "early", ", in rows", "Use poles", "Pick every"]),
-    ("<html><body><table><tr><td><a>log in</a></td><td><a>register</a></td></tr></table><div><p>The committee met on Tuesday and heard three "
-     "reports, of which two were accepted without changes.<br>The third goes back to its authors.</p><blockquote>We will return with better "
-     "figures, they said.</blockquote></div><p><a>terms</a> <a>privacy</a></p></body></html>",
-     ["The committee met", "The third goes", "We will return"]),
-    ("<html><body><div>All the news of the valley</div><article><h1>The bridge opens</h1><p>After two winters of work the bridge takes carts "
-     "again.</p><ul><li>Tolls stay as they were.</li><li>Sheep cross before eight.</li></ul><p>The mayor walked over it first.</p></article>"
-     "<div>Printed every week in the old mill</div></body></html>",
-     ["The bridge opens", "After two winters", "Tolls stay", "Sheep cross", "The mayor walked"]),
-    ("<html><body><div>Letters and opinions</div><main><p>A reader asks how to keep bees through a cold spring.</p></main><div><p>Leave them "
-     "their honey, close the hive to a finger's width, and lift it off the wet ground.</p></div><div>Write to us</div></body></html>",
-     ["A reader asks", "Leave them"]),
-]
+#: Labelled pages to learn from, and the seed that they are made of.
+LEARN_PAGES, LEARN_SEED = 300, 20240521
 
 
 def _attrs(raw: str) -> dict[str, str]:
@@ -110,8 +106,12 @@ def _unwanted(name: str, raw: str, in_article: bool) -> bool:
         return True
     if name in ("html", "body", "article", "main") or name in INLINE and name != "span":
         return False
-    said = _SPLIT.sub(r"\1-\2", f"{a.get('class', '')} {a.get('id', '')}").lower()
-    return bool(_BAD.search(said)) or not in_article and "header" in said.split()
+    telling = NOISE if in_article else NOISE_OUTSIDE
+    for word in _SPLIT.sub(r"\1-\2", f"{a.get('class', '')} {a.get('id', '')}").lower().split():
+        parts = [x for x in _PARTS.split(word) if x]
+        if any(x in telling for x in parts) and all(x in telling or x in PLAIN for x in parts):
+            return True
+    return False
 
 
 class Block:
@@ -128,7 +128,10 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The page in order. zone: the number of the article or main element that a
     block lies in, 0 outside."""
-    stack: list[tuple[str, bool, int]] = []  # name, taken out, zone
+    # Open elements (name, taken out, zone): blocks, what is taken out, and all inside that.
+    # Plain inline elements change nothing, so they aren't kept.
+    stack: list[tuple[str, bool, int]] = []
+    where: dict[str, list[int]] = defaultdict(list)  # places on the stack by name
     out = [Block(0)]
     zones = 0
     at, n = 0, len(page)
@@ -136,6 +139,10 @@ def blocks(page: str) -> list[Block]:
     def state() -> tuple[bool, int]:
         return (stack[-1][1], stack[-1][2]) if stack else (False, 0)
 
+    def close(place: int) -> None:
+        while len(stack) > place:
+            where[stack.pop()[0]].pop()
+
     def cut(tag: str) -> None:
         out[-1].tags.append(tag) if not out[-1].text else None
         if out[-1].text or out[-1].zone != state()[1]:
@@ -172,23 +179,14 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         name, raw = m.group(2).lower(), m.group(3)
         if m.group(1):
-            if any(x[0] == name for x in stack):
-                while stack:
-                    top = stack.pop()
-                    if top[0] == name:
-                        break
+            if where[name]:
+                close(where[name][-1])
             if name not in INLINE:
                 cut("/" + name)
             continue
-        ends = [i for i in range(len(stack) - 1, max(-1, len(stack) - 12), -1) if name in _CLOSES.get(stack[i][0], ())]
-        stops = {"li": ("ul", "ol"), "td": ("table",), "th": ("table",), "tr": ("table",), "dt": ("dl",), "dd": ("dl",)}
-        for i in ends:
-            between = [x[0] for x in stack[i + 1 :]]
-            if not any(b in stops.get(stack[i][0], ("button", "table", "td", "th", "li", "div", "section", "article", "blockquote")) for b in between):
-                carried = [x for x in stack[i + 1 :] if x[0] in INLINE]
-                del stack[i:]
-                stack.extend((c, state()[1 - 1], state()[1]) for c, _, _ in carried)
-                break
+        ends = [where[x][-1] for x, stops in _ENDS.get(name, ()) if where[x] and all(not where[y] or where[y][-1] < where[x][-1] for y in stops if y != x)]
+        if ends:
+            close(min(ends))
         gone, zone = state()
         if name in VOID:
             if name in ("br", "hr") or name not in INLINE and name != "img":
@@ -208,31 +206,44 @@ def blocks(page: str) -> list[Block]:
                 say(page[at : end.start() if end else n])
             at = end.start() if end else n
             if end:
-                close = page.find(">", at)
-                at = n if close < 0 else close + 1
+                shut = page.find(">", at)
+                at = n if shut < 0 else shut + 1
             cut(name)
             continue
         if raw.endswith("/") and name in ("svg", "path"):
             continue
-        stack.append((name, gone, zone))
+        if gone or name not in INLINE:
+            where[name].append(len(stack))
+            stack.append((name, gone, zone))
         if name not in INLINE:
             cut(name)
     return out
 
 
-def _group(tag: str) -> str:
-    tag = tag.lstrip("/")
-    if tag in ("p", "br", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"):
-        return "prose"
-    if tag in ("li", "ul", "ol", "td", "tr", "table", "th", "tbody", "thead", "dl", "dt", "dd"):
-        return "list"
-    return "frame"
+#: Tags of what a reader never sees; they tell nothing of the words around them.
+UNSEEN = frozenset("html head body script style noscript template meta link base title param source track".split())
+
+
+def _groups(tags: list[str]) -> set[str]:
+    """The groups of a run of tags; without words between them it is one boundary."""
+    out = set()
+    for tag in tags:
+        tag = tag.lstrip("/")
+        if tag in UNSEEN:
+            continue
+        if tag in ("p", "br", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"):
+            out.add("prose")
+        elif tag in ("li", "ul", "ol", "td", "tr", "table", "th", "tbody", "thead", "dl", "dt", "dd"):
+            out.add("list")
+        else:
+            out.add("frame")
+    return out
 
 
 @lru_cache(maxsize=1)
 def weights() -> dict[str, float]:
     """Log-odds of a word, of each tag group, of a block's place in an article and of
-    an article's edge to lie in content, from LABELLED; words and places are kept above
+    an article's edge to lie in content, from labelled pages; words and places are kept above
     zero, tags and edges below it."""
     inside: dict[str, float] = {}
     outside: dict[str, float] = {}
@@ -241,14 +252,15 @@ def weights() -> dict[str, float]:
         side = inside if good else outside
         side[key] = side.get(key, 0) + n
 
-    for page, content in LABELLED:
+    for page, content in labelled_pages(LEARN_PAGES, LEARN_SEED):
         last = None
+        texts = set(content)
         for b in blocks(page):
-            text = "".join(b.text).strip()
-            good = any(text.startswith(c) for c in content)
+            text = _SPACE.sub(" ", "".join(b.text)).strip()
+            good = text in texts
             if not b.zone:
-                for t in b.tags:
-                    count(good, _group(t))
+                for group in _groups(b.tags):
+                    count(good, group)
             count(good, "word", len(text.split()))
             if text:
                 if b.zone:
@@ -288,7 +300,7 @@ def extract(page: str | None) -> str:
     share = sum(n for n, b in zip(words, own, strict=True) if b.zone) / max(1, sum(words))
     stray = w["word"] * (1 - 2 * share)
     scores: list[float] = []
-    at: list[int] = []  # the block of a score, -1 for an edge
+    at: list[int] = []  # the block of a score, -1 for tags and edges
     last = None
     for i, (b, n) in enumerate(zip(own, words, strict=True)):
         if n and last is not None and (b.zone > 0) != (last > 0):
@@ -297,8 +309,9 @@ def extract(page: str | None) -> str:
         if b.zone:
             scores.append(w["word"] * n + w["zone"] if n else 0.0)
         else:
-            # a run of tags without words between them is one boundary: each group once
-            scores.append(stray * n + sum(w[g] for g in {_group(x) for x in b.tags}))
+            scores.append(sum(w[g] for g in _groups(b.tags)))
+            at.append(-1)
+            scores.append(stray * n)
         at.append(i)
         last = b.zone if n else last
     articles = [i for i, k in enumerate(at) if k >= 0 and own[k].zone and words[k]]
@@ -329,7 +342,7 @@ def main_text(df: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     """page_id, url, text, n_chars for every row of df. One pass, no shuffle."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces_of(batches, 2):
             texts = [extract(x) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
