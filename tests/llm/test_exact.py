@@ -1,10 +1,12 @@
 """Operators against brute force, the libraries themselves, or exact round trips."""
 
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
 import io
+import lzma
 import math
 import random
 import re
@@ -16,6 +18,7 @@ import numpy as np
 import pytest
 import sentencepiece
 import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -229,16 +232,54 @@ def test_each_place_of_a_repeated_secret(how):
 
 @pytest.mark.parametrize("pack", ["gzip", "zlib", "bz2", "xz", "zstd"])
 def test_members_behind_the_first(pack):
-    import bz2
-    import lzma
-
-    import zstandard
-
     f = {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.ZstdCompressor().compress}[pack]
     x = B64(f(b"nothing in the first one\n") + f(SECRET.encode())).decode()
     assert (3, 0, 3 + len(x.rstrip("="))) in [(a, k, min(b, 3 + len(x.rstrip("=")))) for a, k, b in secrets.scan(f"né {x} .")[1]]
 
 
+PACKS = {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.ZstdCompressor().compress}
+
+
+def _has(text: str, kind: int = 0) -> bool:
+    base, full = secrets.scan(text)
+    return any(k == kind for a, k, b in full if (a, k, b) not in base)
+
+
+@pytest.mark.parametrize("pack", list(PACKS))
+@pytest.mark.parametrize("at", ["front", "end", "cut"])
+def test_streams_beyond_a_window(monkeypatch, pack, at):
+    """However much a stream holds, a secret at any place of it is found."""
+    monkeypatch.setattr(secrets, "WINDOW", 256)
+    monkeypatch.setattr(secrets, "CHUNK", 64)
+    rng = random.Random(1)
+    fill = " ".join(str(rng.randrange(10**6)) for _ in range(2000))
+    body = {"front": SECRET + fill, "end": fill + SECRET, "cut": fill[:250] + SECRET + fill}[at]
+    assert _has(f"né {B64(PACKS[pack](body.encode())).decode()} .")
+    assert not _has(f"né {B64(PACKS[pack](fill.encode())).decode()} .")
+
+
+@pytest.mark.parametrize("width", [16, 40, 48, 60, 64, 76])
+@pytest.mark.parametrize("packed", [False, True])
+def test_wrapped_base64(width, packed):
+    body = ("lines before it\n" + SECRET + "\nand behind it").encode()
+    x = B64(gzip.compress(body, mtime=0) if packed else body).decode()
+    for sep in ("\n", "\r\n", "\n    "):
+        t = sep.join(x[i : i + width] for i in range(0, len(x), width))
+        assert _has(f"word {t}\n."), (width, sep)
+
+
+@pytest.mark.parametrize("glue", ["x", "xy", "xyz", "blob_", "config-", "path/to/", "a/b_"])
+def test_glued_base64(glue):
+    for x in (B64(SECRET.encode()).decode(), base64.urlsafe_b64encode(b"\xff\xfe>?" + SECRET.encode()).decode(), B64(gzip.compress(SECRET.encode(), mtime=0)).decode()):
+        assert _has(f"né {glue}{x} ."), (glue, x)
+
+
+def test_a_stream_that_holds_itself_ends():
+    inner = B64(gzip.compress(SECRET.encode(), mtime=0)).decode()
+    outer = B64(gzip.compress((inner + " " + inner).encode(), mtime=0)).decode()
+    assert _has(outer) and _has(f"{outer} {outer}")
+
+
 def test_layers_end_and_leave_prose_alone():
     assert secrets.scan("%2525252541 " * 5)[1] == []
     assert secrets.scan("plain words of considerableunbrokenlength and 100% sure")[1] == []
