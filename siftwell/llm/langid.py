@@ -10,11 +10,19 @@ miss paying the escape and going one order down.
 
 Training uses at most ``rows_per_language`` labelled rows per language (those with
 the smallest hash of doc_id), whole texts; only gram counts reach the driver, which
-that bound also bounds. Prediction reads every whole text, in one pass.
+that bound also bounds. A language with many rows is first cut to hashes so small that about
+``SPARE`` times as many remain, so no task ranks all rows of a language. Prediction reads
+every whole text, in one pass.
+
+The score is the posterior under equal priors if the text's bits per byte were those of
+``EVIDENCE`` bytes: the whole text's own posterior is 1 for any text of some length, and
+says nothing of how mixed or foreign it is.
 
 Cases: null text, or text without a letter, is ``und`` with score 0; so is every
-text when nothing is labelled. Ties go to the smaller language name. Repeated rows
-give repeated rows; further columns are ignored.
+text when nothing is labelled. Ties go to the smaller language name. A very long text is
+scored in blocks, with the bytes before each as its context, so its length is exact.
+Repeated rows give repeated rows; an empty table gives none; further columns, whatever
+their names, are ignored (label keeps them).
 """
 
 from __future__ import annotations
@@ -27,9 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import pieces_of
+
 ORDER = 3
 PAD = b"\n" * ORDER
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+#: Bytes that a score counts as evidence, and rows kept to rank for each that is learned from.
+EVIDENCE, SPARE = 4, 4
+#: Languages whose numbers of rows the driver looks at.
+MOST_LANGS = 10_000
 _WORDY = re.compile(r"[^\W\d_]")
 
 
@@ -197,8 +211,15 @@ def held_out(id_col: str = "doc_id"):
 def fit(df: DataFrame, rows_per_language: int = 400) -> Model:
     """df: doc_id, text, lang. Learns from rows with text and lang that aren't held out."""
     known = df.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= rows_per_language)
+    hashed = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    large = known.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") > SPARE * rows_per_language).limit(MOST_LANGS + 1).collect()
+    if 0 < len(large) <= MOST_LANGS:
+        # of n hashes in [-2**63, 2**63), about SPARE * rows_per_language lie below this
+        tops = [(r["lang"], int(SPARE * rows_per_language / r["n"] * (1 << 64)) - (1 << 63)) for r in large]
+        top = F.broadcast(df.sparkSession.createDataFrame(tops, "lang string, top long"))
+        hashed = hashed.join(top, "lang", "left").where("top is null or h < top")
+    w = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = hashed.select("doc_id", "lang", F.row_number().over(w).alias("rn")).where(F.col("rn") <= rows_per_language)
     ids = ids.select("doc_id").distinct()
     sample = known.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
 
@@ -224,12 +245,12 @@ def fit(df: DataFrame, rows_per_language: int = 400) -> Model:
 
 def predict(df: DataFrame, model: Model) -> DataFrame:
     """df with lang_pred (a learned name, or ``und``) and score, the posterior of that
-    language under equal priors. Reads doc_id and text; keeps doc_id and held_out."""
+    language by bits per byte. Reads doc_id and text; keeps doc_id and held_out."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         scorer = Scorer(shared.value) if shared.value.langs else None
-        for b in batches:
+        for b in pieces_of(batches, 2):
             texts = [x or "" for x in b.column(2).to_pylist()]
             pred, score = identify(texts, scorer)
             yield pa.RecordBatch.from_arrays(
@@ -246,15 +267,15 @@ def identify(texts: list[str], scorer: Scorer | None) -> tuple[list[str], list[f
     if scorer is None:
         return pred, score
     use = [i for i, t in enumerate(texts) if has_letter(t)]
-    bits = scorer.bits([texts[i].encode("utf-8", "surrogatepass") for i in use])
-    for i, row in zip(use, bits, strict=True):
+    data = [texts[i].encode("utf-8", "surrogatepass") for i in use]
+    for i, row, raw in zip(use, scorer.bits(data), data, strict=True):
         best = int(row.argmin())
         pred[i] = scorer.m.langs[best]
-        score[i] = float(1 / np.exp2(np.maximum(row.min() - row, -1000)).sum())
+        score[i] = float(1 / np.exp2((row.min() - row) * EVIDENCE / max(EVIDENCE, len(raw))).sum())
     return pred, score
 
 
-def label(df: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+def label(df: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
     """The rows of df whose language is recognised with a posterior of ``least`` or
     more, with lang replaced by it; ``und`` rows go. All other columns stay."""
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -263,7 +284,7 @@ def label(df: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
     def run(batches):
         scorer = Scorer(shared.value) if shared.value.langs else None
-        for b in batches:
+        for b in pieces_of(batches, text_at):
             pred, score = identify([x or "" for x in b.column(text_at).to_pylist()], scorer)
             cols = list(b.columns)
             cols[lang_at] = pa.array(pred, pa.string())

@@ -13,15 +13,17 @@
    distinct instances of that kind over all its distinct instances plus one. A
    candidate is promoted if patterns of at least ``least_conf`` and ``least_seeds``
    instances give a noisy-or of at least ``least_conf``. Promoted instances count as
-   instances of their kind in the next round.
+   instances of their kind in the next round, and stay promoted; rounds go on until one
+   promotes nothing new.
 3. Spans of promoted instances join the base spans, the outermost where they nest.
 
 Random contexts are shared by all kinds and stay below the bar; what is found is what
 labels such as "card no" or "reach me at" introduce.
 
 Cases: null text counts as empty; no text or no find gives zero counts, the digest of
-the empty string and no spans; repeated rows give repeated rows with equal spans;
-further columns are ignored.
+the empty string and no spans; repeated rows give repeated rows with equal spans; long
+texts, words and runs are read whole (a word of over 40 characters stands in a pattern by
+its digest); an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, pieces_of
 
 KINDS = ("email", "ip", "card", "phone")
 MARKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]")
@@ -127,8 +129,8 @@ def _likely_kind(word: str) -> int:
 
 
 def _word(text: str, m) -> str:
-    w = m.group().strip(_TRIM).lower()
-    return re.sub("[0-9]", "9", w)[:40]
+    w = re.sub("[0-9]", "9", m.group().strip(_TRIM).lower())
+    return w if len(w) <= 40 else f"{w[:16]}~{hashlib.blake2b(w.encode('utf-8', 'surrogatepass'), digest_size=12).hexdigest()}"
 
 
 def _of_run(text: str, s: int, e: int) -> list[tuple[int, int, int, bool]]:
@@ -217,7 +219,7 @@ def scanned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     span_type = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]))
 
     def run(batches):
-        for b in batches:
+        for b in pieces_of(batches, 2):
             n: list[list[int]] = [[], [], [], []]
             sha, spans, occ = [], [], []
             for text in b.column(2).to_pylist():
@@ -245,14 +247,14 @@ def _shape(kind):
     return F.when(kind <= WEAK, WEAK - kind).otherwise(-2 - kind)
 
 
-def promoted(scan: DataFrame, rounds: int = 2, least_seeds: int = 5, least_conf: float = 0.9) -> DataFrame:
+def promoted(scan: DataFrame, least_seeds: int = 5, least_conf: float = 0.9) -> DataFrame:
     """(instance, shape, kind) of candidates that the pattern graph supports."""
     occ = scan.select(F.explode("occ").alias("o")).select("o.pattern", "o.instance", "o.kind")
     edges = durable(occ.distinct())
     seeds = edges.where("kind >= 0").select("pattern", "instance", "kind")
     unknown = edges.where("kind < 0").groupBy("pattern", "instance", _shape(F.col("kind")).alias("shape")).agg(F.max(F.col("kind") > WEAK).alias("sure"))
-    won = None
-    for _ in range(rounds):
+    won, n_won = None, 0
+    while True:
         labelled = seeds.select("pattern", "instance", "kind")
         known = unknown.where("sure")
         rest = known
@@ -272,8 +274,11 @@ def promoted(scan: DataFrame, rounds: int = 2, least_seeds: int = 5, least_conf:
             .groupBy("instance", "shape", "kind")
             .agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("conf"), F.lit(0.999)))))).alias("p"))
         )
-        won = durable(scores.where(F.col("p") >= least_conf).select("instance", "shape", "kind"))
-    return won
+        now = scores.where(F.col("p") >= least_conf).select("instance", "shape", "kind")
+        won = durable(now if won is None else won.unionByName(now).distinct())
+        before, n_won = n_won, won.count()
+        if n_won == before:
+            return won
 
 
 def extra_spans(scan: DataFrame, won: DataFrame) -> DataFrame:
@@ -338,7 +343,7 @@ def redact(df: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     text_at, n_at = names.index("text"), names.index("n_chars")
 
     def run(batches):
-        for b in batches:
+        for b in pieces_of(batches, text_at):
             texts, counts = b.column(text_at).to_pylist(), b.column(n_at).to_pylist()
             for i, (text, more) in enumerate(zip(texts, b.column(len(names)).to_pylist(), strict=True)):
                 spans = find(text) if text else []

@@ -181,6 +181,28 @@ def test_code_lengths(monkeypatch):
         assert row == pytest.approx([_ppm_bits(x, t) for x in train.values()], rel=1e-4, abs=1e-3)
 
 
+def test_learns_from_the_smallest_hashes(spark, monkeypatch):
+    """What goes before the ranking drops no row that the ranking would take."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") < 30, "rare").otherwise("hot").alias("lang"))
+    few = langid.fit(df, rows_per_language=20)
+    monkeypatch.setattr(langid, "MOST_LANGS", 0)
+    all_ = langid.fit(df, rows_per_language=20)
+    assert few.langs == all_.langs == ["hot", "rare"]
+    for a, b in zip(few.gram_keys + few.gram_cost, all_.gram_keys + all_.gram_cost, strict=True):
+        assert (a == b).all()
+
+
+def test_scores_tell_mixed_texts(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    scorer = langid.Scorer(langid.fit(df))
+    one = {r["lang"]: r["text"] for r in df.where("length(text) between 300 and 600").collect()}
+    mixed = one["en"][:300] + " " + one["fr"][:300]
+    _, (a, b, c) = langid.identify([one["en"], one["fr"], mixed], scorer)
+    assert min(a, b) > 0.99 and 0.4 <= c < min(a, b)
+
+
 def test_held_out_languages(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = langid.predict(df, langid.fit(df)).join(df.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -360,6 +382,35 @@ def test_patterns_find_spaced_identifiers(spark, docs_schema):
     assert "reach me [PHONE] today" in masked[100] and "5559876543" not in masked[101]
 
 
+def test_rounds_go_on_until_nothing_is_new(spark, docs_schema):
+    """Found identifiers teach new patterns, which find others, three times over."""
+    rng = random.Random(4)
+    noise = [f"w{chr(97 + i)}" for i in range(20)]
+    filler = lambda n: " ".join(rng.choice(noise) for _ in range(n))
+    number = lambda i: f"51{i:014d}"
+    luhn = [n for n in map(number, range(10_000)) if pii.luhn(n)][:400]
+    other = iter([n for n in map(number, range(10_000)) if not pii.luhn(n)])
+    take = lambda n: [next(other) for _ in range(n)]
+    first = take(40)
+    texts = [("card no {} end here", x, int(x in first)) for x in luhn + first]
+    second = []
+    for v in "abcdef":
+        new = take(3)
+        second += new
+        texts += [(f"billed{v} to{v} {{}} in{v} full{v}", x, 1) for x in first + new]
+    texts += [("refund for {} was sent", x, 1) for x in second + take(1)]
+    texts += [("never seen {} before now", x, 0) for x in take(1)]
+    rows = [(i, f"{filler(6)} {t.format(x)} {filler(4)}", "en", "s", 0) for i, (t, x, _) in enumerate(texts)]
+    got = {r["doc_id"]: r["n_extra"] for r in pii.detect(spark.createDataFrame(rows, docs_schema)).collect()}
+    assert [got[i] for i in range(len(texts))] == [n for _, _, n in texts]
+
+
+def test_long_words_stay_apart():
+    a, b = "x" * 50 + "a", "x" * 50 + "b"
+    first, second = ({p for p, *_ in pii.occurrences(f"to {w} 4000111122223334 end of", [])} for w in (a, b))
+    assert first and len(first & second) == 1
+
+
 def test_masking():
     assert pii.masked("ab x@y.de cd", [(3, 0, 9)]) == "ab [EMAIL] cd"
     assert pii.masked("abcdef", [(1, 2, 4), (2, 3, 5)]) == "a[CARD]f"
