@@ -18,7 +18,7 @@ def op1_sentencepiece(spark, sf_dir):
 
 def op2_warc(spark, sf_dir):
     got = warc.round_trip(table(spark, sf_dir, "pages"))
-    return got.drop("archive", "frame")
+    return got.drop("archive", "frame", "record_id", "refers_to_id")
 
 
 def op3_fingerprints(spark, sf_dir):

@@ -2,9 +2,11 @@
 
 Writing: a record per page. Of pages with equal payloads of at least ``least_bytes``
 the one with the smallest page_id is a response, the others are revisits of it; the
-rest are responses. Digests are found on (page_id, digest) pairs alone, so a payload
-that a third of all pages share moves as short rows and is pre-aggregated. Each
-partition becomes one archive in the shared folder: a skippable frame that holds the
+rest are responses. Who is first of its digest is found on (page_id, digest) pairs alone,
+pre-aggregated; the digests with the most copies, a bounded number, are broadcast back to
+their pages and only the others joined, so a payload that a third of all pages share meets
+in no task. A revisit names the record id of its response, which follows from page_id and
+digest, so any reader can follow it. Each partition becomes one archive in the shared folder: a skippable frame that holds the
 dictionary, a warcinfo record, then one Zstandard frame per record. Archives are
 written under a name of the attempt and then renamed, so a repeated task replaces its
 own file; the list of archives is itself a durable table.
@@ -17,12 +19,14 @@ are validated. Archives are streamed; memory holds one record.
 Cases: null html counts as empty; a null page_id is written as a response of its own
 and never referred to; null urls become ``urn:page:ID``; control characters in a url
 are percent-coded; repeated rows are records of their own, and of equal page_ids
-exactly one row is the response; an empty table writes no archive and reads as no row.
+exactly one row is the response; an empty table writes no archive and reads as no row; a
+very long page is one record; further columns, whatever their names, are never read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh_dir, shuffle_width
+from .common import durable, fresh_dir, pieces_of, shuffle_width
 
 MAGIC = 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -38,9 +42,12 @@ DICT_BYTES = 1 << 15
 SAMPLE_BYTES = 1 << 22
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Digests that are broadcast, and the copies from which on one is.
+HOT_DIGESTS, HOT_COPIES = 10_000, 50_000
+_ID = re.compile(r"<urn:uuid:([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})>", re.IGNORECASE)
 READ = (
     "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
-    "url string, archive string, frame long"
+    "url string, archive string, frame long, record_id string, refers_to_id string"
 )
 
 
@@ -48,7 +55,12 @@ class WarcError(ValueError):
     """An archive or a record that breaks the format."""
 
 
-def record(kind: str, page_id, url, payload: bytes, digest: str, size: int, refers_to=None) -> bytes:
+def response_id(page_id, digest: str) -> str:
+    """The record id of the response that others may refer to."""
+    return str(uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}|{digest}"))
+
+
+def record(kind: str, page_id, url, payload: bytes, digest: str, size: int, refers_to=None, record_id: str | None = None) -> bytes:
     """One WARC record. A revisit has the HTTP header alone in its block."""
     uri = "".join(c if " " < c < "\x7f" or c > "\x9f" else f"%{ord(c):02X}" for c in (url or f"urn:page:{page_id}"))
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
@@ -56,7 +68,7 @@ def record(kind: str, page_id, url, payload: bytes, digest: str, size: int, refe
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{uri}|{digest}|{kind}')}>",
+        f"WARC-Record-ID: <urn:uuid:{record_id or response_id(page_id, digest)}>",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -65,7 +77,7 @@ def record(kind: str, page_id, url, payload: bytes, digest: str, size: int, refe
         f"Page-ID: {'' if page_id is None else page_id}",
     ]
     if kind == "revisit":
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{response_id(refers_to, digest)}>", f"Refers-To-Page-ID: {refers_to}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -120,18 +132,38 @@ def page_of(head: dict[str, str], block: bytes) -> dict | None:
             raise WarcError("payload length")
         if hashlib.sha256(payload).hexdigest() != digest[7:]:
             raise WarcError("payload digest")
-    elif payload or not head.get("warc-refers-to"):
-        raise WarcError("revisit with a payload or without a target")
+    elif payload:
+        raise WarcError("revisit with a payload")
     return {
-        "page_id": int(head["page-id"]) if head.get("page-id") else None,
+        "page_id": _whole(head, "page-id"),
         "payload_bytes": int(sizes[0]),
         "payload_digest": digest[7:],
         "record_type": kind,
-        "refers_to": int(head["warc-refers-to"][10:-1]) if kind == "revisit" else None,
+        "refers_to": _whole(head, "refers-to-page-id") if kind == "revisit" else None,
         "url": head.get("warc-target-uri"),
+        "record_id": _id(head, "warc-record-id"),
+        "refers_to_id": _id(head, "warc-refers-to") if kind == "revisit" else None,
     }
 
 
+def _whole(head: dict[str, str], name: str) -> int | None:
+    """The number in a header, None where that is empty or absent, as in archives that
+    others wrote."""
+    said = head.get(name)
+    if not said:
+        return None
+    if not re.fullmatch(r"-?[0-9]{1,19}", said):
+        raise WarcError(f"{name} {said[:40]!r}")
+    return int(said)
+
+
+def _id(head: dict[str, str], name: str) -> str:
+    m = _ID.fullmatch(head.get(name, ""))
+    if not m:
+        raise WarcError(f"{name} {head.get(name, '')[:60]!r}")
+    return m.group(1).lower()
+
+
 def dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
     """Trained on an archive's first records (bounded by SAMPLE_BYTES); empty where
     there are too few to train on."""
@@ -213,11 +245,18 @@ def planned(pages: DataFrame, least_bytes: int = 100, width: int | None = None)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     base = base.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha2(F.encode("html", "UTF-8"), 256))
     narrow = base.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "payload_digest")
-    first = narrow.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    first = durable(narrow.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1"))
+    # at most HOT_DIGESTS rows; any digest beyond them has few copies against the table
+    hot = first.where(F.col("copies") >= HOT_COPIES).orderBy(F.col("copies").desc(), "payload_digest").limit(HOT_DIGESTS).select("payload_digest", "first_id")
+    if hot.isEmpty():
+        named = narrow.join(first.drop("copies"), "payload_digest")
+    else:
+        hot = F.broadcast(durable(hot))
+        rest = narrow.join(hot.select("payload_digest"), "payload_digest", "left_anti")
+        named = narrow.join(hot, "payload_digest").unionByName(rest.join(first.drop("copies"), "payload_digest"))
     # a repeated page_id may have several payloads
     target = (
-        narrow.join(first, "payload_digest")
-        .groupBy(F.col("page_id").alias("deal"))
+        named.groupBy(F.col("page_id").alias("deal"))
         .agg(F.map_from_entries(F.collect_set(F.struct("payload_digest", "first_id"))).alias("firsts"))
     )
     deal = F.coalesce(F.col("page_id"), F.xxhash64("url", "payload_digest"))
@@ -245,7 +284,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 100, archives: int |
         archive = None
         met: set = set()
         out = None
-        for b in batches:
+        for b in pieces_of(batches, 2):
             for r in b.to_pylist():
                 key = r["page_id"]
                 # of repeated rows of the first page, the first one met is the response
@@ -253,7 +292,10 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 100, archives: int |
                 if r["refers_to"] == key:
                     met.add(key)
                 kind = "response" if first else "revisit"
-                raw = record(kind, key, r["url"], b"" if kind == "revisit" else r["html"].encode("utf-8", "surrogatepass"), r["payload_digest"], r["payload_bytes"], r["refers_to"])
+                # what others refer to has an id that follows from the page; no other record repeats
+                own = None if first and r["refers_to"] is not None else str(uuid.uuid5(uuid.NAMESPACE_URL, f"{key}|{r['payload_digest']}|{ctx.partitionId()}|{count}"))
+                payload = b"" if kind == "revisit" else r["html"].encode("utf-8", "surrogatepass")
+                raw = record(kind, key, r["url"], payload, r["payload_digest"], r["payload_bytes"], r["refers_to"], own)
                 count += 1
                 if archive is None:
                     held.append(raw)
@@ -291,7 +333,7 @@ def read(archives: DataFrame, folder: str, batch: int = 2000) -> DataFrame:
         source, base = _fs(folder)
         schema = pa.schema(
             [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()),
-             ("refers_to", pa.int64()), ("url", pa.string()), ("archive", pa.string()), ("frame", pa.int64())]
+             ("refers_to", pa.int64()), ("url", pa.string()), ("archive", pa.string()), ("frame", pa.int64()), ("record_id", pa.string()), ("refers_to_id", pa.string())]
         )
         for b in batches:
             for name in b.column(0).to_pylist():
@@ -314,6 +356,12 @@ def read(archives: DataFrame, folder: str, batch: int = 2000) -> DataFrame:
     return archives.select("archive").repartition(n, "archive").mapInArrow(run, READ)
 
 
+def dangling(rows: DataFrame) -> DataFrame:
+    """(refers_to_id): what revisits among READ rows refer to that is no response among them."""
+    targets = rows.where("record_type = 'revisit'").select("refers_to_id").distinct()
+    return targets.join(rows.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id")), "refers_to_id", "left_anti")
+
+
 def round_trip(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     """Writes pages as archives into the shared folder and reads them back."""
     folder = fresh_dir(pages.sparkSession, "warc")

@@ -693,6 +693,33 @@ def test_archives_round_trip_and_break():
             warc.page_of(*warc.parsed(raw))
 
 
+@pytest.mark.parametrize("hot", [1, 50_000])
+def test_revisits_name_a_response(spark, monkeypatch, hot):
+    monkeypatch.setattr(warc, "HOT_COPIES", hot)
+    monkeypatch.setattr(warc, "HOT_DIGESTS", 1)
+    body = [f"<p>{'long page ' * 20}{i % 3}" for i in range(30)] + ["short"] * 5
+    rows = [(i + 1, f"http://x/{i}", h) for i, h in enumerate(body)] + [(1, "http://x/0", body[0]), (35, "u", "short")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).cache()
+    assert warc.dangling(got).count() == 0 and got.select("record_id").distinct().count() == len(rows)
+    seen = sorted((r["page_id"], r["record_type"], r["refers_to"] or 0) for r in got.collect())
+    want = [(i + 1, "response", 0) if i < 3 else (i + 1, "revisit", i % 3 + 1) for i in range(30)] + [(i, "response", 0) for i in range(31, 36)]
+    assert seen == sorted([*want, (1, "revisit", 1), (35, "response", 0)])
+    lost = got.where("not (page_id = 2 and record_type = 'response')")
+    assert warc.dangling(lost).count() == 1
+
+
+def test_foreign_references():
+    digest = hashlib.sha256(b"").hexdigest()
+    again = warc.record("revisit", 2, None, b"", digest, 9, 1)
+    named = warc.response_id(1, digest).encode()
+    assert warc.page_of(*warc.parsed(again))["refers_to_id"].encode() == named
+    alone = warc.page_of(*warc.parsed(again.replace(b"Refers-To-Page-ID: 1\r\n", b"")))
+    assert alone["refers_to"] is None and alone["refers_to_id"].encode() == named
+    for bad in (again.replace(b"<urn:uuid:" + named + b">", b"<urn:page:7>"), again.replace(b"Refers-To-Page-ID: 1", b"Refers-To-Page-ID: x"), again.replace(b"Page-ID: 2", b"Page-ID: two")):
+        with pytest.raises(warc.WarcError):
+            warc.page_of(*warc.parsed(bad))
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
