@@ -108,60 +108,55 @@ def build(units: DataFrame, budget: int = EDGE_BUDGET) -> DataFrame:
     return budgeted(parents.unionByName(calls).unionByName(imports), budget)
 
 
+def decay(kind):
+    """The weight of an edge of a kind."""
+    w = F.lit(OTHER_DECAY)
+    for k, v in DECAY.items():
+        w = F.when(kind == k, v).otherwise(w)
+    return w
+
+
 def neighbors(edges: DataFrame, starts: DataFrame, hops: int = 1, direction: str = "both") -> DataFrame:
-    """(start_id, hop, rank, unit_id, path) breadth first from starts (start_id): each node
-    once, by the first path that reaches it in edge order. Unrolled joins, at most
-    MAX_HOPS; a visited node is dropped by an anti join."""
+    """(start_id, hop, rank, unit_id, path, weight) breadth first from starts (start_id):
+    each node once, by the first path that reaches it in edge order; weight is the product
+    of that path's decays. Unrolled joins, at most MAX_HOPS; a visited node is dropped by
+    an anti join."""
     if direction not in ("out", "in", "both"):
         raise ValueError(f"direction must be out, in or both, got {direction!r}")
     e = edges.select("source", "target", "kind").dropDuplicates()
-    step = F.concat(F.col("kind"), F.lit(":"), "source", F.lit("->"), "target")
-    out = e.select(F.col("source").alias("at"), F.lit(0).alias("dir"), F.col("kind").alias("k1"), F.col("target").alias("k2"), step.alias("step"), F.col("target").alias("to"))
-    into = e.select(F.col("target").alias("at"), F.lit(1).alias("dir"), F.col("source").alias("k1"), F.col("kind").alias("k2"), step.alias("step"), F.col("source").alias("to"))
+    step = F.concat(F.col("kind"), F.lit(":"), "source", F.lit("->"), "target").alias("step")
+    out = e.select(F.col("source").alias("at"), F.lit(0).alias("dir"), F.col("kind").alias("k1"), F.col("target").alias("k2"), step, decay(F.col("kind")).alias("w"), F.col("target").alias("to"))
+    into = e.select(F.col("target").alias("at"), F.lit(1).alias("dir"), F.col("source").alias("k1"), F.col("kind").alias("k2"), step, decay(F.col("kind")).alias("w"), F.col("source").alias("to"))
     walk = out if direction == "out" else into if direction == "in" else out.unionByName(into)
-    front = starts.select("start_id", F.col("start_id").alias("unit_id"), F.lit(0).cast("long").alias("rank"), F.col("start_id").alias("path"))
+    front = starts.select("start_id", F.col("start_id").alias("unit_id"), F.lit(0).cast("long").alias("rank"), F.col("start_id").alias("path"), F.lit(1.0).alias("weight"))
     seen = front.select("start_id", "unit_id")
     found = None
     for hop in range(1, min(hops, MAX_HOPS) + 1):
-        c = front.join(walk, front["unit_id"] == walk["at"]).select("start_id", F.col("to").alias("unit_id"), F.col("rank").alias("parent"), "dir", "k1", "k2", F.concat_ws(" ", "path", "step", "to").alias("path"))
+        c = front.join(walk, front["unit_id"] == walk["at"]).select("start_id", F.col("to").alias("unit_id"), F.col("rank").alias("parent"), "dir", "k1", "k2", F.concat_ws(" ", "path", "step", "to").alias("path"), (F.col("weight") * F.col("w")).alias("weight"))
         c = c.join(seen, ["start_id", "unit_id"], "left_anti")
         # partial aggregation keeps the first path per node before anything is ranked
-        first = c.groupBy("start_id", "unit_id").agg(F.min(F.struct("parent", "dir", "k1", "k2", "path")).alias("m"))
+        first = c.groupBy("start_id", "unit_id").agg(F.min(F.struct("parent", "dir", "k1", "k2", "path", "weight")).alias("m"))
         w = Window.partitionBy("start_id").orderBy("m.parent", "m.dir", "m.k1", "m.k2", "unit_id")
-        front = first.select("start_id", "unit_id", F.row_number().over(w).cast("long").alias("rank"), F.col("m.path").alias("path"))
+        front = first.select("start_id", "unit_id", F.row_number().over(w).cast("long").alias("rank"), F.col("m.path").alias("path"), F.col("m.weight").alias("weight"))
         seen = seen.unionByName(front.select("start_id", "unit_id"))
-        got = front.select("start_id", F.lit(hop).cast("long").alias("hop"), "rank", "unit_id", "path")
+        got = front.select("start_id", F.lit(hop).cast("long").alias("hop"), "rank", "unit_id", "path", "weight")
         found = got if found is None else found.unionByName(got)
     if found is None:
-        return front.select("start_id", F.lit(0).cast("long").alias("hop"), "rank", "unit_id", "path").where("false")
+        return front.select("start_id", F.lit(0).cast("long").alias("hop"), "rank", "unit_id", "path", "weight").where("false")
     return found
 
 
-def decayed(path, kinds=("calls", "contains", "imports")):
-    """The product of a path's edge weights."""
-    steps = F.filter(F.split(path, " "), lambda x: x.contains("->"))
-
-    def weight(x):
-        kind = F.substring_index(x, ":", 1)
-        w = F.lit(OTHER_DECAY)
-        for k in kinds:
-            w = F.when(kind == k, DECAY[k]).otherwise(w)
-        return w
-
-    return F.aggregate(steps, F.lit(1.0), lambda a, x: a * weight(x))
-
-
 def graph_search(seeds: DataFrame, edges: DataFrame, limit: int, hops: int = 1) -> DataFrame:
     """(query_id, rank, unit_id, score, via_graph): seeds (query_id, unit_id, score) and
     what they lead to, each at the best of its own and its propagated scores."""
     starts = seeds.select(F.col("unit_id").alias("start_id")).distinct()
     paths = neighbors(edges, starts, hops)
-    reached = seeds.join(paths.select("start_id", F.col("unit_id").alias("to"), "path"), seeds["unit_id"] == F.col("start_id"))
-    via = reached.select("query_id", F.col("to").alias("unit_id"), (F.col("score") * decayed(F.col("path"))).alias("score"), F.lit(1).alias("graph"))
+    reached = seeds.join(paths.select("start_id", F.col("unit_id").alias("to"), "weight"), seeds["unit_id"] == F.col("start_id"))
+    via = reached.select("query_id", F.col("to").alias("unit_id"), (F.col("score") * F.col("weight")).alias("score"), F.lit(1).alias("graph"))
     own = seeds.select("query_id", "unit_id", "score", F.lit(0).alias("graph"))
     # only a strictly better propagated score replaces a seed's own
-    best = own.unionByName(via).withColumn("score", F.round("score", 6)).groupBy("query_id", "unit_id").agg(F.max(F.struct("score", (-F.col("graph")).alias("g"))).alias("m"))
-    s = best.select("query_id", "unit_id", F.col("m.score").alias("score"), (F.col("m.g") < 0).alias("via_graph"))
+    best = own.unionByName(via).groupBy("query_id", "unit_id").agg(F.max(F.struct("score", (-F.col("graph")).alias("g"))).alias("m"))
+    s = best.select("query_id", "unit_id", F.round("m.score", 6).alias("score"), (F.col("m.g") < 0).alias("via_graph"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("unit_id"))
     return s.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= limit).select("query_id", "rank", "unit_id", "score", "via_graph")
 

@@ -40,9 +40,11 @@ def field_avg_len(u: DataFrame) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(x).alias("field"), F.col(f"avg_{x}").alias("avg_len")) for x in FIELDS])).alias("x")).select("x.*")
 
 
-def postings(u: DataFrame) -> DataFrame:
+def postings(u: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(term, unit_id, mass): sum over fields of weight / saturation per occurrence.
-    Each occurrence carries its field's factor, so one aggregation makes the index."""
+    Each occurrence carries its field's factor, so one aggregation makes the index. With
+    terms (term), few enough to broadcast, only theirs: lengths count all tokens, but
+    other occurrences go before anything is aggregated."""
     t = tokenized(u)
     # one row
     j = t.crossJoin(F.broadcast(average_lengths(t)))
@@ -51,8 +53,10 @@ def postings(u: DataFrame) -> DataFrame:
         share = F.lit(WEIGHTS[x]) / (F.lit(1 - B) + F.lit(B) * F.col(f"n_{x}") / F.col(f"avg_{x}"))
         return F.transform(f"t_{x}", lambda w: F.struct(w.alias("term"), share.alias("m")))
 
-    each = j.select("unit_id", F.explode(F.concat(*[marked(x) for x in FIELDS])).alias("p"))
-    return each.groupBy(F.col("p.term").alias("term"), "unit_id").agg(F.sum("p.m").alias("mass"))
+    each = j.select("unit_id", F.explode(F.concat(*[marked(x) for x in FIELDS])).alias("p")).select("unit_id", "p.term", "p.m")
+    if terms is not None:
+        each = each.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    return each.groupBy("term", "unit_id").agg(F.sum("m").alias("mass"))
 
 
 def doc_freq(p: DataFrame) -> DataFrame:

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
 
+from .durable import durable
 from .index import K1, idf, is_ubiquitous
 
 MIN_COVERAGE, MIN_CONCENTRATION, FULL_SIZE = 0.40, 0.28, 200
@@ -40,7 +40,7 @@ def lookup(terms: DataFrame, p: DataFrame) -> DataFrame:
 @dataclass
 class Probe:
     """One pass of the index by the questions' terms. found: (query_id, term, unit_id,
-    mass), kept, as evidence and scores all start from it; df: (query_id, term, df) of the
+    mass), written once, as evidence and scores all start from it; df: (query_id, term, df) of the
     terms that are in the index, a row per question term at most."""
 
     terms: DataFrame
@@ -50,7 +50,7 @@ class Probe:
 
 def probe(q: DataFrame, p: DataFrame) -> Probe:
     terms = query_terms(q)
-    found = lookup(terms, p).persist(StorageLevel.MEMORY_AND_DISK)
+    found = durable(lookup(terms, p))
     return Probe(terms, found, found.groupBy("query_id", "term").agg(F.count("*").alias("df")))
 
 
@@ -125,15 +125,35 @@ def cosine(a, b):
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), dot).otherwise(0.0)
 
 
-def hybrid(q: DataFrame, at: Probe, n: DataFrame, unit_vectors: DataFrame, query_vectors: DataFrame, vector_weight: float = VECTOR_WEIGHT) -> DataFrame:
+def hybrid(
+    q: DataFrame, at: Probe, n: DataFrame, unit_vectors: DataFrame, query_vectors: DataFrame, vector_weight: float = VECTOR_WEIGHT,
+    semantic: bool = False, recall: int = VECTOR_RECALL, min_coverage: float = MIN_COVERAGE, min_concentration: float = MIN_CONCENTRATION,
+) -> DataFrame:
     """(query_id, unit_id, score) of every unit with evidence, for the queries whose
-    evidence suffices: refused queries never reach the scoring joins."""
-    enough = evidence(q, at, n).where("sufficient").select("query_id")
+    evidence suffices: refused queries never reach the scoring joins. With an embedder of
+    real semantics the ``recall`` nearest units without a lexical hit are candidates too. A
+    query that passes (the bars allow it) without any lexical hit is answered by vectors."""
+    enough = durable(evidence(q, at, n, min_coverage, min_concentration).where("sufficient").select("query_id"))
     h = hits(Probe(at.terms, at.found.join(small(enough, 100_000), "query_id", "left_semi"), at.df), n)
     near = selective(h).join(unit_vectors, "unit_id").join(query_vectors, "query_id")
     near = near.select("query_id", "unit_id", cosine(F.col("unit_vector"), F.col("query_vector")).alias("cos"))
     j = lexical(h).join(near, ["query_id", "unit_id"], "left")
-    return j.select("query_id", "unit_id", (F.col("lexical") + vector_weight * F.greatest(F.lit(0.0), F.coalesce("cos", F.lit(0.0)))).alias("score"))
+    out = j.select("query_id", "unit_id", (F.col("lexical") + vector_weight * F.greatest(F.lit(0.0), F.coalesce("cos", F.lit(0.0)))).alias("score"))
+    asked = query_vectors.join(enough, "query_id", "left_semi")
+    known = h.select("query_id").distinct()
+    if semantic:
+        lex = h.select("query_id", "unit_id").distinct()
+        more = nearest(lex, unit_vectors, asked.join(known, "query_id", "left_semi"), recall)
+        out = out.unionByName(more.select("query_id", "unit_id", (vector_weight * F.col("cos")).alias("score")).where("score > 0"))
+    if min_coverage <= 0 and min_concentration <= 0:  # else nothing passes without a hit
+        out = out.unionByName(fallback(unit_vectors, asked.join(known, "query_id", "left_anti"), vector_weight))
+    return out
+
+
+def fallback(unit_vectors: DataFrame, query_vectors: DataFrame, vector_weight: float = VECTOR_WEIGHT) -> DataFrame:
+    """(query_id, unit_id, score) of all units by cosine alone, where that is above 0."""
+    pairs = unit_vectors.join(small(query_vectors, 10_000), F.size("unit_vector") == F.size("query_vector"))
+    return pairs.select("query_id", "unit_id", (vector_weight * cosine(F.col("unit_vector"), F.col("query_vector"))).alias("score")).where("score > 0")
 
 
 def ranked(scores: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -151,17 +171,17 @@ def matched_terms(winners: DataFrame, at: Probe) -> DataFrame:
     return j.groupBy("query_id", "unit_id").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("terms"))
 
 
-def vector_recall(candidates_out: DataFrame, unit_vectors: DataFrame, query_vectors: DataFrame, recall: int = VECTOR_RECALL) -> DataFrame:
-    """(query_id, rank, unit_id, score): for the stated queries, the nearest units that
-    have no lexical hit; ties by descending id. The queries form the broadcast side, after
-    a check of its size, and meet each shard of the units."""
-    few = small(query_vectors, 10_000)
-    pairs = unit_vectors.join(few, F.size("unit_vector") == F.size("query_vector"))
-    sims = pairs.select("query_id", "unit_id", F.round(cosine(F.col("unit_vector"), F.col("query_vector")), 6).alias("score"))
-    # the best of each query among all units first; lexical hits go after pruning by rank
-    sims = sims.join(candidates_out, ["query_id", "unit_id"], "left_anti")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("unit_id").desc())
-    return sims.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= recall).select("query_id", "rank", "unit_id", "score")
+def nearest(lexical_hits: DataFrame, unit_vectors: DataFrame, query_vectors: DataFrame, recall: int = VECTOR_RECALL) -> DataFrame:
+    """(query_id, rank, unit_id, cos): for the stated queries, the nearest units that have
+    no lexical hit; ties by descending id. A unit carries the queries that hit it, so pairs
+    are dropped where they arise, and each task passes on ``recall`` rows a query."""
+    hit = lexical_hits.groupBy("unit_id").agg(F.collect_set("query_id").alias("hit_by"))
+    units = unit_vectors.join(hit, "unit_id", "left")
+    pairs = units.join(small(query_vectors, 10_000), F.size("unit_vector") == F.size("query_vector"))
+    pairs = pairs.where(~F.coalesce(F.array_contains("hit_by", F.col("query_id")), F.lit(False)))
+    sims = pairs.select("query_id", "unit_id", F.round(cosine(F.col("unit_vector"), F.col("query_vector")), 6).alias("cos"))
+    w = Window.partitionBy("query_id").orderBy(F.col("cos").desc(), F.col("unit_id").desc())
+    return sims.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= recall).select("query_id", "rank", "unit_id", "cos")
 
 
 def within_budget(rows: DataFrame, max_chars: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import durable
+
 ORDER = ("path", "start_line", "qualified_name", "unit_id")
 
 
@@ -27,23 +29,18 @@ def incremental_split(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def global_serials(u: DataFrame, width: int | None = None) -> DataFrame:
-    """(unit_id, serial) from 1 in ORDER, distributed: rows are range partitioned, ranked
-    where they lie, and moved up by the sizes of the partitions in front. Only one row per
-    partition meets in one place."""
+    """(unit_id, serial) from 1 in ORDER, distributed: rows are range partitioned and sorted,
+    that order is written once, and each row's place in its partition moves up by the
+    sizes of the partitions in front. Only one row per partition meets in one place."""
     cols = [c for c in ORDER if c in u.columns]
-    key = u.select(*cols).repartitionByRange(*cols) if width is None else u.select(*cols).repartitionByRange(width, *cols)
-    placed = key.sortWithinPartitions(*cols).select("unit_id", F.spark_partition_id().alias("part"), *[c for c in cols if c != "unit_id"])
-    return _numbered(placed, cols)
-
-
-def _numbered(placed: DataFrame, cols: list[str]) -> DataFrame:
-    # the ranks inside a partition need the same layout twice; rows are compared by value,
-    # so ranges instead of partition numbers decide
-    w = Window.partitionBy("path").orderBy(*[c for c in cols if c != "path"])
-    per = placed.groupBy("path").agg(F.count("*").alias("n"))
-    before = per.select("path", (F.sum("n").over(Window.orderBy("path")) - F.col("n")).alias("before"))
-    inside = placed.withColumn("rn", F.row_number().over(w))
-    return inside.join(before, "path").select("unit_id", (F.col("before") + F.col("rn")).cast("long").alias("serial"))
+    key = u.select(*cols)
+    ranged = key.repartitionByRange(*cols) if width is None else key.repartitionByRange(width, *cols)
+    # within a partition monotonically_increasing_id counts rows in its low 33 bits
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = durable(ranged.sortWithinPartitions(*cols).select("unit_id", F.spark_partition_id().alias("part"), place.alias("place")))
+    per = placed.groupBy("part").agg(F.count("*").alias("n")).coalesce(1)
+    before = per.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return placed.join(F.broadcast(before), "part").select("unit_id", (F.col("before") + F.col("place") + 1).cast("long").alias("serial"))
 
 
 def stable_serials(u: DataFrame, previous: DataFrame) -> DataFrame:
@@ -69,13 +66,23 @@ def vector_reuse(u: DataFrame, previous: DataFrame) -> DataFrame:
     return j.select("unit_id", F.coalesce(same, F.lit(False)).alias("reused"))
 
 
-def chained_digest(rows: DataFrame, order: list[str], text) -> DataFrame:
-    """(n, fingerprint): a digest over all rows in order. Rows are hashed where they are
-    and combined in two levels, per bucket of the first order column's hash prefix, so no
-    task gathers all texts."""
-    h = rows.select(*order, digest(text).alias("h")).withColumn("bucket", F.substring(digest(F.col(order[0]).cast("string")), 1, 2))
-    part = h.groupBy("bucket").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "h"))), lambda x: x["h"]), "").alias("all"))
-    part = part.select("bucket", "n", digest(F.col("all")).alias("h"))
-    # 256 rows at most
-    top = part.agg(F.sum("n").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), "").alias("all"))
-    return top.select(F.coalesce("n", F.lit(0)).cast("long").alias("n"), digest(F.col("all")).alias("fingerprint"))
+def ordered_digest(rows: DataFrame, order: str, text) -> DataFrame:
+    """(n, fingerprint): SHA-256 over the texts of all rows, one after the other in the
+    order of a column. Such a digest is one stream by its nature, so one task reads the
+    short sorted texts, spilling as it sorts, and holds none of them."""
+    import hashlib
+
+    import pyarrow as pa
+
+    def run(batches):
+        h, n = hashlib.sha256(), 0
+        for b in batches:
+            n += b.num_rows
+            for x in b.column(0).to_pylist():
+                h.update(x.encode("utf-8", "surrogatepass"))
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([h.hexdigest()])], ["n", "fingerprint"])
+
+    one = rows.select(F.col(order).alias("k"), F.coalesce(text, F.lit("")).alias("x")).repartition(1).sortWithinPartitions("k").select("x")
+    got = one.mapInArrow(run, "n long, fingerprint string")
+    # a task without rows may not run at all
+    return got.agg(F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("n"), F.coalesce(F.max("fingerprint"), F.lit(hashlib.sha256().hexdigest())).alias("fingerprint"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.text import glob_regex
 
+from .snapshot import ordered_digest
+
 
 def relocations(entries: DataFrame, digest: str = "hash") -> DataFrame:
     """(path, digest, ambiguous, text): what a moved unit may take over; ambiguous where
@@ -89,6 +91,13 @@ def pruned(entries: DataFrame, units: DataFrame) -> DataFrame:
     return j.select("unit_id", F.coalesce("a", "b", "c", F.lit(False)).alias("kept"))
 
 
+def fingerprint(entries: DataFrame) -> DataFrame:
+    """(fingerprint): a digest over ids, source digests and texts in id order; empty for an
+    empty store."""
+    c = ordered_digest(entries, "unit_id", F.concat("unit_id", F.coalesce("hash", F.lit("")), F.coalesce("text", F.lit(""))))
+    return c.select(F.when(F.col("n") == 0, "").otherwise(F.col("fingerprint")).alias("fingerprint"))
+
+
 def bootstrap_rung(counts: DataFrame, batch: int) -> DataFrame:
     """(action, remaining, rounds) from one row (remaining, promotable)."""
     action = F.when(F.col("remaining") > 0, "describe").when(F.col("promotable") > 0, "promote").otherwise("ready")

@@ -161,34 +161,47 @@ def _regions(s, d):
     return C.table(s, d, "region").select(_id("region", "r_regionkey").alias("start_id"))
 
 
-@query("neighbors", f"WITH {EDGES}, {_WALK} SELECT start_id, CAST(hop AS BIGINT) AS hop, CAST(rank AS BIGINT) AS rank, unit_id, path FROM nb")
+# all of these walk along "contains" edges, whose weight is 0.5
+@query("neighbors", f"WITH {EDGES}, {_WALK} SELECT start_id, CAST(hop AS BIGINT) AS hop, CAST(rank AS BIGINT) AS rank, unit_id, path, CASE hop WHEN 1 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS weight FROM nb")
 def neighbors(s, d):
     return G.neighbors(G.valid(_edges(s, d), _ids(s, d)), _regions(s, d), hops=2)
 
 
-# seeds of a search: the nations, scored by the number of their customers
-_SEEDS = """seeds AS (SELECT n_regionkey AS query_id, 'nation:' || n_nationkey AS unit_id, round(count(c_custkey) / 1000.0, 6) AS score FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2),
+# seeds of a search over all edges: queries 0.. have the nations, scored by the number of
+# their customers, 100.. the two orders of most lines and 200.. the two customers of most
+# orders in a nation, so all kinds of edges are met
+_SEEDS = """lines AS (SELECT c_nationkey AS n, l_orderkey AS k, count(*) AS c FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+placed AS (SELECT c_nationkey AS n, c_custkey AS k, count(*) AS c FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+tops AS (SELECT 100 + n AS query_id, 'order:' || k AS unit_id, c FROM lines UNION ALL SELECT 200 + n, 'customer:' || k, c FROM placed),
+seeds AS (SELECT n_regionkey AS query_id, 'nation:' || n_nationkey AS unit_id, round(count(c_custkey) / 1000.0, 6) AS score FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2
+  UNION ALL SELECT query_id, unit_id, round(c / 1000.0, 6) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, unit_id) AS rn FROM tops) WHERE rn <= 2),
 rs AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM seeds)"""
-_NET = """net AS (SELECT source, target, kind FROM valid WHERE source LIKE 'region:%' OR target LIKE 'supplier:%'),
-w1 AS (SELECT source AS frm, target AS dest, kind FROM net UNION ALL SELECT target, source, kind FROM net)"""
+
+_GS = f"""WITH {EDGES}, {_SEEDS},
+st AS (SELECT DISTINCT source, target, kind FROM valid),
+w1 AS (SELECT source AS frm, target AS dest, kind FROM st UNION ALL SELECT target, source, kind FROM st),
+via AS (SELECT query_id, dest AS unit_id, score * CASE kind WHEN 'calls' THEN 0.7::DOUBLE WHEN 'contains' THEN 0.5::DOUBLE WHEN 'imports' THEN 0.3::DOUBLE ELSE 0.4::DOUBLE END AS score FROM seeds JOIN w1 ON frm = unit_id),
+al AS (SELECT query_id, unit_id, score FROM seeds UNION ALL SELECT * FROM via),
+b AS (SELECT query_id, unit_id, max(score) AS score FROM al GROUP BY 1, 2),
+bb AS (SELECT b.query_id, b.unit_id, round(b.score, 6) AS score, NOT EXISTS (SELECT 1 FROM seeds s WHERE s.query_id = b.query_id AND s.unit_id = b.unit_id AND s.score = b.score) AS via_graph FROM b),
+gr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM bb)"""
 
 
 def _seeds(s, d):
-    j = C.table(s, d, "nation").join(C.table(s, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"))
-    g = j.groupBy(F.col("n_regionkey").alias("query_id"), _id("nation", "n_nationkey").alias("unit_id")).agg(F.round(F.count("*") / 1000.0, 6).alias("score"))
-    return g
+    c, o = C.table(s, d, "customer").select("c_custkey", "c_nationkey"), C.table(s, d, "orders").select("o_orderkey", "o_custkey")
+    nations = C.table(s, d, "nation").join(c, F.col("c_nationkey") == F.col("n_nationkey"))
+    nations = nations.groupBy(F.col("n_regionkey").alias("query_id"), _id("nation", "n_nationkey").alias("unit_id")).agg(F.round(F.count("*") / 1000.0, 6).alias("score"))
+    placed = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    lines = C.table(s, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("c")).join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
+    tops = lines.select((F.col("c_nationkey") + 100).alias("query_id"), _id("order", "l_orderkey").alias("unit_id"), "c").unionByName(
+        placed.groupBy((F.col("c_nationkey") + 200).alias("query_id"), _id("customer", "c_custkey").alias("unit_id")).agg(F.count("*").alias("c"))
+    )
+    two = R.ranked(tops.select("query_id", "unit_id", F.round(F.col("c") / 1000.0, 6).alias("score")), 2)
+    return nations.unionByName(two.select("query_id", "unit_id", "score"))
 
 
 def _net(s, d):
-    return G.valid(_edges(s, d), _ids(s, d)).where("source like 'region:%' or target like 'supplier:%'")
-
-
-_GS = f"""WITH {EDGES}, {_SEEDS}, {_NET},
-via AS (SELECT query_id, dest AS unit_id, round(score * 0.5, 6) AS score, 1 AS g FROM seeds JOIN w1 ON frm = unit_id),
-al AS (SELECT query_id, unit_id, score, 0 AS g FROM seeds UNION ALL SELECT * FROM via),
-b AS (SELECT query_id, unit_id, max(score) AS score FROM al GROUP BY 1, 2),
-bb AS (SELECT b.*, NOT EXISTS (SELECT 1 FROM seeds s WHERE s.query_id = b.query_id AND s.unit_id = b.unit_id AND s.score = b.score) AS via_graph FROM b),
-gr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM bb)"""
+    return G.valid(_edges(s, d), _ids(s, d))
 
 
 @query("graph_search", f"{_GS} SELECT query_id, CAST(rank AS BIGINT) AS rank, unit_id, score, via_graph FROM gr WHERE rank <= 16")
@@ -213,52 +226,6 @@ def research(s, d):
     return G.research(R.ranked(_seeds(s, d), 1 << 30), _net(s, d), 8)
 
 
-
-# the same over all edges: queries 0.. have the nations as seeds, 100.. the two orders of
-# most lines and 200.. the two customers of most orders in a nation, so all kinds are met
-_ALL_SEEDS = """lines AS (SELECT c_nationkey AS n, l_orderkey AS k, count(*) AS c FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
-placed AS (SELECT c_nationkey AS n, c_custkey AS k, count(*) AS c FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
-tops AS (SELECT 100 + n AS query_id, 'order:' || k AS unit_id, c FROM lines UNION ALL SELECT 200 + n, 'customer:' || k, c FROM placed),
-seeds AS (SELECT n_regionkey AS query_id, 'nation:' || n_nationkey AS unit_id, round(count(c_custkey) / 1000.0, 6) AS score FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2
-  UNION ALL SELECT query_id, unit_id, round(c / 1000.0, 6) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, unit_id) AS rn FROM tops) WHERE rn <= 2),
-rs AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM seeds)"""
-
-_ALL_GS = f"""WITH {EDGES}, {_ALL_SEEDS},
-st AS (SELECT DISTINCT source, target, kind FROM valid),
-w1 AS (SELECT source AS frm, target AS dest, kind FROM st UNION ALL SELECT target, source, kind FROM st),
-via AS (SELECT query_id, dest AS unit_id, round(score * CASE kind WHEN 'calls' THEN 0.7 WHEN 'contains' THEN 0.5 WHEN 'imports' THEN 0.3 ELSE 0.4 END, 6) AS score FROM seeds JOIN w1 ON frm = unit_id),
-al AS (SELECT query_id, unit_id, score FROM seeds UNION ALL SELECT * FROM via),
-b AS (SELECT query_id, unit_id, max(score) AS score FROM al GROUP BY 1, 2),
-bb AS (SELECT b.*, NOT EXISTS (SELECT 1 FROM seeds s WHERE s.query_id = b.query_id AND s.unit_id = b.unit_id AND s.score = b.score) AS via_graph FROM b),
-gr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM bb)"""
-
-
-def _all_seeds(s, d):
-    c, o = C.table(s, d, "customer").select("c_custkey", "c_nationkey"), C.table(s, d, "orders").select("o_orderkey", "o_custkey")
-    placed = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
-    lines = C.table(s, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("c")).join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
-    tops = lines.select((F.col("c_nationkey") + 100).alias("query_id"), _id("order", "l_orderkey").alias("unit_id"), "c").unionByName(
-        placed.groupBy((F.col("c_nationkey") + 200).alias("query_id"), _id("customer", "c_custkey").alias("unit_id")).agg(F.count("*").alias("c"))
-    )
-    scored = tops.select("query_id", "unit_id", F.round(F.col("c") / 1000.0, 6).alias("score"))
-    two = R.ranked(scored, 2)
-    return _seeds(s, d).unionByName(two.select("query_id", "unit_id", "score"))
-
-
-def _all_edges(s, d):
-    return G.valid(_edges(s, d), _ids(s, d))
-
-
-@query("graph_search_whole", f"{_ALL_GS} SELECT query_id, CAST(rank AS BIGINT) AS rank, unit_id, score, via_graph FROM gr WHERE rank <= 16")
-def graph_search_whole(s, d):
-    return G.graph_search(_all_seeds(s, d), _all_edges(s, d), 16)
-
-
-@query("research_whole", SQL["research"].replace(_GS, _ALL_GS))
-def research_whole(s, d):
-    return G.research(R.ranked(_all_seeds(s, d), 1 << 30), _all_edges(s, d), 8)
-
-
 # lines: pages cut behind each tag
 
 RULES = [("section", r"<(article|nav|footer|div)[ >]?"), ("block", r"<(h1|ul|p)$")]
@@ -396,20 +363,15 @@ def file_stats(s, d):
     return _files(s, d).select("path", F.octet_length("text").cast("long").alias("size"))
 
 
-def _chain(rows: str, key: str) -> str:
-    return f"""SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, '' ORDER BY bucket)) AS fingerprint FROM (
-  SELECT left(sha256({key}), 2) AS bucket, count(*) AS n, sha256(string_agg(h, '' ORDER BY {key})) AS h FROM ({rows}) GROUP BY 1)"""
-
-
-@query("repo_fingerprint", f"WITH {FILES} " + _chain("SELECT path, sha256(path || sha256(text)) AS h FROM files", "path"))
+@query("repo_fingerprint", f"WITH {FILES} SELECT count(*) AS n, sha256(coalesce(string_agg(path || sha256(text), '' ORDER BY path), '')) AS fingerprint FROM files")
 def repo_fingerprint(s, d):
-    f = _hashed(_files(s, d))
-    return S.chained_digest(f, ["path"], F.concat("path", "sha256"))
+    return S.ordered_digest(_hashed(_files(s, d)), "path", F.concat("path", "sha256"))
 
 
-@query("corpus_stamp", f"WITH {UNITS} " + _chain("SELECT unit_id, sha256(unit_id || source) AS h FROM units", "unit_id"))
+@query("corpus_stamp", f"WITH {UNITS} SELECT count(*) AS n, left(sha256(coalesce(string_agg(unit_id || concat_ws(chr(10), qualified_name || ' ' || kind, signature, description, 'calls: ' || chr(10) || 'imports: ', source), '' ORDER BY unit_id), '')), 12) AS fingerprint FROM units")
 def corpus_stamp(s, d):
-    return S.chained_digest(C.units(C.table(s, d, "documents")), ["unit_id"], F.concat("unit_id", "source"))
+    u = C.fields(C.units(C.table(s, d, "documents")))
+    return S.ordered_digest(u, "unit_id", F.concat("unit_id", C.searchable_text())).withColumn("fingerprint", F.left("fingerprint", F.lit(12)))
 
 
 @query("stale_diff", f"WITH {FILES} SELECT path, CASE WHEN o.text IS NULL THEN 'added' WHEN f.text IS NULL THEN 'removed' ELSE 'changed' END AS change FROM files f FULL JOIN old o USING (path) WHERE o.text IS NULL OR f.text IS NULL OR sha256(o.text) <> sha256(f.text)")
@@ -557,10 +519,9 @@ def validate_items(s, d):
     return D.validated(items, C.units(C.table(s, d, "documents")), 200)
 
 
-@query("desc_fingerprint", f"{STORE} " + _chain("SELECT unit_id, sha256(unit_id || text) AS h FROM en", "unit_id").replace("SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, '' ORDER BY bucket)) AS fingerprint", "SELECT CASE WHEN count(*) = 0 THEN '' ELSE sha256(string_agg(h, '' ORDER BY bucket)) END AS fingerprint"))
+@query("desc_fingerprint", f"{STORE} SELECT CASE WHEN count(*) = 0 THEN '' ELSE sha256(string_agg(unit_id || coalesce(hash, '') || text, '' ORDER BY unit_id)) END AS fingerprint FROM en")
 def desc_fingerprint(s, d):
-    c = S.chained_digest(_entries(s, d), ["unit_id"], F.concat("unit_id", "text"))
-    return c.select(F.when(F.col("n") == 0, "").otherwise(F.col("fingerprint")).alias("fingerprint"))
+    return D.fingerprint(_entries(s, d))
 
 
 @query("bootstrap_rung", f"{STORE} SELECT CASE WHEN r > 0 THEN 'describe' WHEN p > 0 THEN 'promote' ELSE 'ready' END AS action, CAST(r AS BIGINT) AS remaining, CAST(ceil(r / 20.0) AS BIGINT) AS rounds FROM (SELECT count(*) FILTER (state <> 'described') AS r, count(*) FILTER (state = 'described') AS p FROM stt)")
