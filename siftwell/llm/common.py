@@ -2,32 +2,48 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch: executors hold several at once, in the JVM and in Python.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, where nobody has set them lower: Spark's own
+    bound, 64 MB for each running task and direction, is a large part of a small executor."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, "64m").lower().removesuffix("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(held[-1:], 0)
+    if int(held.rstrip("kmg")) << unit > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where
-    that is unset (tests on one machine), a temporary folder that is made once."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is
+    unset and one machine runs all (tests), a temporary folder that is made once."""
     sc = spark.sparkContext
     got = spark.conf.get("spark.checkpoint.dir", None)
-    if got:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(got)
-        return got.rstrip("/")
     held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="siftwell-"))
+        if not got and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(got or "file://" + tempfile.mkdtemp(prefix="siftwell-"))
         held = sc._jsc.sc().getCheckpointDir()
-    return held.get().rstrip("/")
+    return got.rstrip("/") if got else held.get().rstrip("/")
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -56,3 +72,11 @@ def pieces_of(batches, *texts: int, size: int = 1 << 22):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
             yield b.slice(at, to - at)
             at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what this worker has freed to the system; workers stay for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

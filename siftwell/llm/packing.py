@@ -70,7 +70,12 @@ def byte_tokenizer(path: str):
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = [t["content"] for t in spec["added_tokens"]]
-    exact = lambda text: np.asarray(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def exact(text: str) -> np.ndarray:
+        nonlocal slow
+        slow = slow or Tokenizer.from_file(path)
+        return np.asarray(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
     if not _plain(spec):
         return exact
     chars = _byte_chars()
@@ -78,6 +83,7 @@ def byte_tokenizer(path: str):
     fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     if any(fast.encode_ordinary(x) != exact(x).tolist() for x in PROBES):
         return exact
+    slow = None  # rarely needed again, and large
 
     def ids(text: str) -> np.ndarray:
         if not any(s in text for s in special):
