@@ -11,29 +11,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm import langid, neardup, packing, pii
 from siftwell.llm.catalog import public_file
-from siftwell.llm.common import fresh_dir, table
+from siftwell.llm.common import fresh_dir, small_batches, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is recognised, with lang set to it."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     return langid.label(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, 0.8)."""
+    small_batches(spark)
     return neardup.deduplicated(docs.select(*COLUMNS))
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, personal data in text masked and n_chars counted anew."""
+    small_batches(spark)
     return pii.redact(docs.select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all rows in sequences of at most 2048 tokens."""
+    small_batches(spark)
     return packing.pack(docs, public_file("byte_bpe_50k.json"))
 
 
