@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 import tomllib
 from dataclasses import dataclass
@@ -44,7 +46,7 @@ class Setting:
 
 
 SUFFIXES = (
-    ".py .js .jsx .mjs .cjs .ts .tsx .java .go .rs .c .h .cc .cpp .hpp .cs .rb .php .swift .kt .scala .sh".split()
+    ".py .pyi .js .jsx .mjs .cjs .ts .tsx .java .go .rs .c .h .cc .cpp .hpp .cs .rb .php .swift .kt .kts .scala .sh .bash".split()
 )
 SETTINGS = {
     s.name: s
@@ -53,7 +55,7 @@ SETTINGS = {
         Setting("index.suffixes", tuple(SUFFIXES), build=True),
         Setting("index.max_file_bytes", 5 << 20, 1, 1 << 30, build=True),
         Setting("embedding.dimensions", 384, 32, 4096, build=True),
-        Setting("embedding.provider", "signed-feature-hash", members=("signed-feature-hash", "remote", "local-model"), build=True),
+        Setting("embedding.provider", "signed-feature-hash", members=("signed-feature-hash", "openai-compatible", "sentence-transformers"), build=True),
         Setting("embedding.endpoint", "", build=True),
         Setting("embedding.model", "", build=True),
         Setting("embedding.api_key_env", ""),
@@ -95,6 +97,11 @@ class Config:
     def build_values(self) -> dict:
         return {k: v for k, v in self.values.items() if SETTINGS[k].build}
 
+    def build_fingerprint(self) -> str:
+        """A digest of the settings that decide what an index holds."""
+        text = json.dumps(self.build_values(), sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=list)
+        return hashlib.sha256(text.encode("utf-8")).hexdigest()
+
 
 def _setting(name: str) -> Setting:
     if name not in SETTINGS:

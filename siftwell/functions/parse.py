@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LANGUAGES = {
-    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript",
+    ".py": "python", ".pyi": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript",
     ".java": "java", ".go": "go", ".rs": "rust", ".c": "c", ".h": "c", ".cc": "cpp", ".cpp": "cpp", ".hpp": "cpp", ".cs": "csharp", ".rb": "ruby",
-    ".php": "php", ".swift": "swift", ".kt": "kotlin", ".scala": "scala", ".sh": "shell",
+    ".php": "php", ".swift": "swift", ".kt": "kotlin", ".kts": "kotlin", ".scala": "scala", ".sh": "shell", ".bash": "shell",
 }
 MARKER = "Documented intent:"
 UNIT = (
@@ -25,31 +25,63 @@ UNIT = (
     "source string, description string, parent string, calls array<string>, imports array<string>, code string, line int, message string"
 )
 _W = r"[A-Za-z_][A-Za-z0-9_]*"
+_JS = r"[A-Za-z_$][A-Za-z0-9_$]*"
+_GIVEN = r"\s*(?::[^=]*)?=\s*(?:async\s*)?"  # a binding's type, then its value
+
+
+def _any(words: str) -> str:
+    """Any number of these modifiers in front."""
+    return rf"(?:(?:{'|'.join(words.split())})\s+)*"
+
+
+_JVM = _any("public private protected internal static final abstract open override sealed data value inline operator infix suspend async virtual synchronized native implicit lazy case partial readonly")
+_CPP = _any("static inline extern const constexpr virtual explicit friend unsigned signed volatile")
+_SWIFT = _any("public private internal fileprivate open static class final override mutating required convenience lazy")
+_PHP = _any("public private protected static final abstract readonly")
+_TS = _any("public private protected static abstract override readonly declare async get set")
+#: What ends a line that declares a function with a body: its brace, or parameters that go on.
+_OPEN = r"(?:[^;{}]*\{.*|[^;{})]*)$"
 #: (languages, kind, pattern with the name in group 1); the first that matches wins.
 RULES: list[tuple[frozenset, str, re.Pattern]] = [
     (frozenset(langs.split()), kind, re.compile(rx))
     for langs, kind, rx in (
         ("javascript typescript", "class", rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:class|interface|enum)\s+({_W})"),
-        ("javascript typescript", "function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*({_W})"),
-        ("javascript typescript", "function", rf"^\s*(?:export\s+)?(?:const|let|var)\s+({_W})\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|{_W})\s*(?::[^=]+)?=>"),
-        ("java csharp kotlin scala swift php", "class", rf"^\s*(?:(?:public|private|protected|internal|static|final|abstract|sealed|open|data|case)\s+)*(?:class|interface|enum|record|struct|trait|object|protocol)\s+({_W})"),
-        ("java csharp", "method", rf"^\s*(?:(?:public|private|protected|internal|static|final|abstract|synchronized|override|virtual|async)\s+)+(?:[\w<>\[\],.?]+\s+)?({_W})\s*\("),
-        ("go", "class", rf"^type\s+({_W})\s+(?:struct|interface)\b"),
-        ("go", "function", rf"^func\s+(?:\([^)]*\)\s*)?({_W})\s*[\(\[]"),
+        ("javascript typescript", "function", rf"^.*?\bfunction\s*\*?\s*({_W})\s*\("),
+        ("javascript typescript", "function", rf"^\s*(?:export\s+)?(?:const|let|var)\s+({_JS}){_GIVEN}function\b"),
+        ("javascript typescript", "function", rf"^\s*(?:export\s+)?(?:const|let|var)\s+({_JS}){_GIVEN}(?:\([^)]*\)|{_JS})\s*(?::[^=]+)?=>"),
+        # methods of a class body and shorthand of an object
+        ("javascript typescript", "method", rf"^\s*{_TS}\*?\s*({_JS})\s*(?:<[^;{{]*>)?\s*\([^;{{}}]*\)\s*(?::[^;{{]*)?\{{"),
+        ("javascript typescript", "method", r"^\s*(constructor)\s*\([^;{})]*$"),
+        ("java csharp kotlin scala php", "class", rf"^\s*{_JVM}(?:companion\s+|annotation\s+|inner\s+)?(?:enum\s+class|record\s+(?:struct|class)|class|interface|enum|record|struct|trait|object)\s+({_W})"),
+        ("kotlin", "function", rf"^\s*{_JVM}fun\s+(?:<[^>]*>\s*)?(?:{_W}(?:<[^>]*>)?\??\.)?({_W})\s*\("),
+        ("scala", "function", rf"^\s*{_JVM}(?:protected\s+)?def\s+({_W})"),
+        ("java csharp", "method", rf"^\s*(?=\w+\s){_JVM}(?:<[^{{(]*>\s*)?(?:[\w<>\[\],.?]+\s+)?({_W})\s*\({_OPEN}"),
+        ("go", "class", rf"^\s*type\s+({_W})\s+(?:struct|interface)\b"),
+        ("go", "method", rf"^\s*func\s*\([^)]*\)\s*({_W})\s*[\(\[]"),
+        ("go", "function", rf"^\s*func\s+({_W})\s*[\(\[]"),
+        ("go", "function", rf"^\s*var\s+({_W})\s*=\s*func\b"),
         ("rust", "class", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait|mod|union)\s+({_W})"),
-        ("rust", "function", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+)*fn\s+({_W})"),
-        ("c cpp", "class", rf"^\s*(?:typedef\s+)?(?:class|struct|enum|union|namespace)\s+({_W})\s*[^;]*$"),
-        ("c cpp", "function", rf"^(?:[A-Za-z_][\w:<>,*&\s]*[\s*&])({_W})\s*\([^;]*$"),
+        ("rust", "function", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?{_any('const async unsafe')}fn\s+({_W})"),
+        ("c cpp", "class", rf"^\s*(?:typedef\s+)?(?:enum\s+(?:class|struct)|class|struct|enum|union|namespace)\s+({_W})\s*[^;]*$"),
+        ("c cpp", "method", rf"^\s*(?:virtual\s+)?(~{_W})\s*\("),
+        ("c cpp", "method", rf"^\s*{_CPP}(?:[\w:<>,]+[\s*&]+)?{_W}::(~?{_W})\s*\({_OPEN}"),
+        ("c cpp", "function", rf"^\s*{_CPP}(?:[A-Za-z_][\w:<>,*&]*[\s*&]+)+({_W})\s*\({_OPEN}"),
         ("ruby", "class", rf"^\s*(?:class|module)\s+({_W})"),
-        ("ruby", "method", rf"^\s*def\s+(?:self\.)?({_W}[?!]?)"),
-        ("php", "function", rf"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+&?({_W})"),
-        ("swift", "function", rf"^\s*(?:(?:public|private|internal|static|final|override|mutating)\s+)*func\s+({_W})"),
-        ("kotlin", "function", rf"^\s*(?:(?:public|private|internal|override|suspend|inline|open)\s+)*fun\s+(?:<[^>]*>\s*)?(?:{_W}\.)?({_W})\s*\("),
-        ("scala", "function", rf"^\s*(?:(?:override|private|protected|final)\s+)*def\s+({_W})"),
-        ("shell", "function", rf"^\s*(?:function\s+)?({_W})\s*\(\s*\)"),
+        ("ruby", "method", rf"^\s*def\s+(?:self\.)?({_W}[?!=]?)"),
+        ("ruby", "function", rf"^\s*({_W})\s*=\s*(?:->|lambda\b|proc\b|Proc\.new\b)"),
+        ("php", "method", rf"^\s*(?=(?:public|private|protected|static|final|abstract)\s){_PHP}function\s+&?\s*({_W})\s*\("),
+        ("php", "function", rf"^\s*function\s+&?\s*({_W})\s*\("),
+        ("php", "function", rf"^\s*\$({_W})\s*=\s*(?:static\s+)?(?:fn|function)\b"),
+        ("swift", "class", rf"^\s*{_SWIFT}(?:class|struct|enum|protocol|extension|actor)\s+({_W})"),
+        ("swift", "method", rf"^\s*{_SWIFT}func\s+({_W})\s*[<(]"),
+        ("swift", "method", rf"^\s*{_SWIFT}(init)[?!]?\s*\("),
+        ("swift", "method", rf"^\s*{_SWIFT}var\s+({_W})\s*:[^=]*\{{\s*$"),
+        ("shell", "function", r"^\s*function\s+([\w.-]+)\s*(?:\(\s*\))?\s*\{?"),
+        ("shell", "function", r"^\s*([\w.-]+)\s*\(\s*\)\s*\{?\s*$"),
     )
 ]
-_NOT_NAMES = frozenset("if for while switch catch return else do new try with".split())
+_STATEMENTS = frozenset("return throw else await yield delete new case goto".split())
+_NOT_NAMES = frozenset("if for while switch catch return else do new try with throw sizeof function await yield assert match when guard repeat select delete case default".split())
 _COMMENT = {"ruby": ("#",), "shell": ("#",), "php": ("//", "#", "*", "/*")}
 
 
@@ -177,6 +209,8 @@ def generic_units(path: str, source: str, language: str) -> list[dict]:
             until = m.group(1)
         if not bare or bare.startswith(skip):
             continue
+        if re.match(r"\w*", bare).group() in _STATEMENTS and "function" not in bare and not bare.startswith("case class"):
+            continue
         for kind, rx in rules:
             m = rx.match(line)
             if m and m.group(1) not in _NOT_NAMES:
@@ -190,7 +224,9 @@ def generic_units(path: str, source: str, language: str) -> list[dict]:
             end = next((k for k in range(i + 1, len(lines)) if lines[k].strip() == "end" and len(lines[k]) - len(lines[k].lstrip()) == indent), fallback)
         else:
             outer = depth[i - 1] if i else 0
-            opened = next((k for k in range(i, min(i + 12, len(lines))) if "{" in blanked(lines[k], language) or ";" in blanked(lines[k], language)), None)
+            # a body opens before the next declaration does
+            stop = found[j + 1][0] if j + 1 < len(found) else len(lines)
+            opened = next((k for k in range(i, min(i + 12, max(stop, i + 1))) if "{" in blanked(lines[k], language) or ";" in blanked(lines[k], language)), None)
             if opened is None or "{" not in blanked(lines[opened], language):
                 if opened is not None and language not in ("javascript", "typescript", "kotlin", "scala"):
                     continue  # declared here, with a body elsewhere

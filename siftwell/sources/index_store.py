@@ -23,8 +23,9 @@ _VERSION = re.compile(r"v-[0-9a-f]{16}-\d+$")
 POINTER = "_CURRENT"
 
 
-def publish(root: str, units: DataFrame, edges: DataFrame, vectors: DataFrame | None, meta: dict) -> str:
-    """Writes a version under root (a folder on this machine or a mounted store)."""
+def publish(root: str, units: DataFrame, edges: DataFrame, vectors: DataFrame | None, meta: dict, more: dict | None = None) -> str:
+    """Writes a version under root (a folder on this machine or a mounted store); more:
+    further tables by name."""
     os.makedirs(root, exist_ok=True)
     stamp = str(meta.get("fingerprint", ""))[:16].ljust(16, "0")
     number = 1 + max([int(n.rsplit("-", 1)[1]) for n in os.listdir(root) if _VERSION.match(n)], default=0)
@@ -36,7 +37,9 @@ def publish(root: str, units: DataFrame, edges: DataFrame, vectors: DataFrame |
     I.postings(stored).repartition("term").sortWithinPartitions("term", "unit_id").write.parquet(f"{at}/postings")
     edges.write.parquet(f"{at}/edges")
     if vectors is not None:
-        vectors.select("unit_id", F.col("vector").cast("array<float>").alias("vector")).write.parquet(f"{at}/vectors")
+        vectors.withColumn("vector", F.col("vector").cast("array<float>")).write.parquet(f"{at}/vectors")
+    for table, df in (more or {}).items():
+        df.write.parquet(f"{at}/{table}")
     with open(f"{at}/meta.json", "w", encoding="utf-8") as f:
         json.dump({"schema": SCHEMA, "fingerprint": "", "build_fingerprint": "", "descriptions_fingerprint": ""} | meta, f)
     temp = f"{root}/.{POINTER}.{os.getpid()}"
@@ -60,6 +63,7 @@ def load(spark: SparkSession, root: str) -> dict:
     with open(f"{at}/meta.json", encoding="utf-8") as f:
         meta = {"fingerprint": "", "build_fingerprint": "", "descriptions_fingerprint": ""} | json.load(f)
     got = {t: spark.read.parquet(f"{at}/{t}") for t in ("units", "postings", "edges")} | {"meta": meta, "degraded": None}
+    got |= {t: spark.read.parquet(f"{at}/{t}") for t in ("files", "diagnostics") if os.path.isdir(f"{at}/{t}")}
     try:
         got["vectors"] = spark.read.parquet(f"{at}/vectors")
         bad = got["vectors"].where(F.size("vector") != meta.get("dimensions", 0)).limit(1).count()

@@ -235,7 +235,7 @@ def test_tree_to_published_index(spark, checkout, tmp_path):
     s = session.Session(spark, index_store.load(spark, root), checkout, monitor=session.StaleMonitor(lambda: False))
     assert s.reply("{")["error"] == "invalid_json" and s.reply("[1]")["error"] == "invalid_request"
     assert s.reply('{"action":"fly"}')["error"] == "unsupported action: fly"
-    assert s.reply('{"action":"search","query":7}')["error"] == "request_failed"
+    assert s.reply('{"action":"search","query":7}')["error"] == "invalid_request"
     hit = s.reply('{"action":"search","query":"put box things","limit":1e400}')
     assert hit["results"][0]["id"].startswith("pkg/io.py") and hit["stale"] is False
     assert s.reply('{"action":"stats"}')["units"] == 5
