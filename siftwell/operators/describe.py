@@ -15,6 +15,7 @@ import os
 import textwrap
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,21 +202,24 @@ def insertions(units: DataFrame, entries: DataFrame, files: DataFrame) -> DataFr
     bare = ~F.contains("generated", F.lit(T.MARKER))
     todo = units.where(bare).join(said, "unit_id").groupBy("path").agg(F.collect_list(F.struct("unit_id", "language", "name", "start_line", "said")).alias("todo"))
 
-    def run(parts):
-        for pdf in parts:
-            out = []
-            for path, content, todo in zip(pdf["path"], pdf["content"], pdf["todo"], strict=True):
-                source = bytes(content).decode("utf-8", "replace")
-                for u in todo:
+    def run(batches):
+        names = ["path", "line", "lines", "unit_id"]
+        kinds = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.string()]
+        for b in batches:
+            out: list[list] = [[] for _ in names]
+            for r in b.to_pylist():
+                source = r["content"].decode("utf-8", "replace")
+                for u in r["todo"]:
                     at = _place(source, u["language"], u["name"], u["start_line"])
                     if at is None:
                         continue
                     rows = patch.docstring(u["said"], at[1]) if u["language"] == "python" else patch.comment(u["said"], at[1], u["language"])
                     if rows:
-                        out.append((path, at[0], rows, u["unit_id"]))
-            yield pd.DataFrame(out, columns=["path", "line", "lines", "unit_id"])
+                        for c, v in zip(out, (r["path"], at[0], rows, u["unit_id"]), strict=True):
+                            c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
 
-    got = files.select("path", "content").join(todo, "path").mapInPandas(run, "path string, line int, lines array<string>, unit_id string")
+    got = files.select("path", "content").join(todo, "path").mapInArrow(run, "path string, line int, lines array<string>, unit_id string")
     return got.orderBy("path", F.col("line").desc())
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import difflib
 import textwrap
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 WIDTH = 76
 LINE_MARK = {
@@ -45,13 +46,14 @@ def file_patch(path: str, source: str, insertions: list[tuple[int, list[str]]])
 
 
 def render(insertions: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, patch): insertions (path, line, lines), files (path, source); one file's
-    insertions are one group, which its size bounds."""
+    """(path, patch): insertions (path, line, lines), files (path, source). A file meets its
+    insertions, which its own size bounds, in one row."""
+    todo = insertions.groupBy("path").agg(F.collect_list(F.struct("line", "lines")).alias("todo"))
 
-    def one(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"path": [], "patch": []})
-        todo = [(int(n), list(x)) for n, x in zip(left["line"], left["lines"], strict=True)]
-        return pd.DataFrame({"path": [key[0]], "patch": [file_patch(key[0], right["source"].iloc[0], todo)]})
+    def run(batches):
+        for b in batches:
+            rows = b.to_pylist()
+            made = [file_patch(r["path"], r["source"], [(x["line"], x["lines"]) for x in r["todo"]]) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r["path"] for r in rows], pa.string()), pa.array(made, pa.string())], ["path", "patch"])
 
-    return insertions.groupBy("path").cogroup(files.groupBy("path")).applyInPandas(one, "path string, patch string")
+    return files.select("path", "source").join(todo, "path").mapInArrow(run, "path string, patch string")
