@@ -211,3 +211,34 @@ def test_remote_policy(monkeypatch):
 )
 def test_declarations_of_many_shapes(path, source, want):
     assert [u["name"] for u in parse.parse_one(path, source.encode())] == want
+
+
+def test_command_line(spark, repo, capsys, monkeypatch, tmp_path):
+    import io
+
+    from siftwell.__main__ import main
+
+    root, _ = repo
+    run = lambda *a: main(list(a), spark)
+    assert run("config", "init", "--root", root) == 0 and run("config", "init", "--root", root) == 1
+    assert run("config", "set", "embedding.dimensions", "64", "--root", root) == 0
+    capsys.readouterr()
+    assert run("config", "get", "embedding.dimensions", "--root", root) == 0 and capsys.readouterr().out.strip() == "64"
+    assert run("index", root) == 0
+    assert json.loads(capsys.readouterr().out)["indexed_units"] == 4
+    assert run("search", "charge card gateway", "--root", root, "--json", "--limit", "2") == 0
+    assert json.loads(capsys.readouterr().out)["results"][0]["id"].startswith("pay/charge.py")
+    assert run("annotate", "--root", root, "--output", str(tmp_path / "a.md")) == 0
+    text = (tmp_path / "a.md").read_text()
+    assert text.startswith("## pay/charge.py") and text.count("- RAG[0000") == 4
+    (tmp_path / "in.json").write_text(json.dumps({"descriptions": [{"id": "web/cart.js:2:addArticle", "text": "basket"}]}))
+    assert run("describe", "import", str(tmp_path / "in.json"), "--root", root) == 0
+    capsys.readouterr()
+    assert run("describe", "status", "--root", root) == 0 and json.loads(capsys.readouterr().out)["described"] == 1
+    assert run("annotate", "--root", root) == 1  # the index lacks the description
+    assert run("describe", "export", "--root", root, "--limit", "1") == 0
+    capsys.readouterr()
+    monkeypatch.setattr("sys.stdin", io.StringIO('{"action":"stats"}\n\nnope\n'))
+    assert run("agent", "--root", root) == 0
+    first, second = capsys.readouterr().out.strip().splitlines()
+    assert json.loads(first)["units"] == 4 and json.loads(second)["error"] == "invalid_json"
