@@ -486,6 +486,7 @@ def dense(docs_schema):
 def test_dense_regions_equal_brute_force(spark, docs_schema, monkeypatch, dense, parts, broadcast):
     monkeypatch.setattr(neardup, "BROADCAST_ROWS", broadcast)
     monkeypatch.setattr(neardup, "POSTING", 64)
+    monkeypatch.setattr(neardup, "LARGE", 20 if parts == 1 else 1000)
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(dense)], docs_schema)
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
