@@ -17,6 +17,28 @@ def rank_metrics(questions: DataFrame, ranks: DataFrame, acceptable: DataFrame)
     )
 
 
+def holding(questions: DataFrame, at, units: DataFrame) -> DataFrame:
+    """(query_id, unit_id): units whose source holds the question's whole text. What stands
+    between its first and last blank is made of whole tokens, so such a unit is in the
+    posting list of the rarest of them; only those units are compared. at: ranking.Probe of
+    the questions; units: unit_id, source."""
+    from siftwell.functions.text import tokens
+
+    from .ranking import small
+
+    inner = F.regexp_extract("query", r"(?s)\s(.*)\s", 1)
+    terms = questions.select("query_id", F.array_distinct(tokens(inner)).alias("ts"))
+    asked = terms.select("query_id", F.explode("ts").alias("term")).join(at.df, ["query_id", "term"], "left")
+    # a term that no unit has rules all out
+    rarest = asked.groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r"))
+    found = at.found.join(small(rarest.select("query_id", F.col("r.term").alias("term"))), ["query_id", "term"], "left_semi").select("query_id", "unit_id")
+    some = units.join(small(found), "unit_id").join(small(questions), "query_id").where(F.contains("source", "query")).select("query_id", "unit_id")
+    loose = questions.join(terms.where(F.size("ts") == 0).select("query_id"), "query_id", "left_semi")
+    if loose.isEmpty():
+        return some
+    return some.unionByName(units.join(small(loose, 10_000), F.contains("source", "query")).select("query_id", "unit_id"))
+
+
 def by_dimensions(rows: DataFrame, dims: list[str], aggs: list) -> DataFrame:
     """(dim, value, ...): the aggregates overall and by each dimension, by grouping sets:
     one pass over rows."""

@@ -12,6 +12,7 @@ from siftwell.operators import lines as L
 from siftwell.operators import ranking as R
 from siftwell.operators import snapshot as S
 from siftwell.operators import store as D
+from siftwell.operators.durable import durable
 
 from . import retrieval as V
 from .sqlkit import QUERY, RANK, UNITS
@@ -566,18 +567,28 @@ rm AS (SELECT q.query_id, coalesce(CAST(min(rank) = 1 AS BIGINT), 0) AS hit_at_1
 qd AS (SELECT query_id, CASE WHEN regexp_matches(query, '[^\\x00-\\x7F]') THEN 'accented' ELSE 'plain' END AS language, CASE WHEN length(query) > 250 THEN 'long' ELSE 'short' END AS kind FROM q)"""
 
 
-def _accept(s, d):
-    q = R.small(V._questions(s, d), 10_000)
+def _accept(s, d, at=None):
     u = C.units(C.table(s, d, "documents")).select("unit_id", "source")
-    return u.join(q, F.contains("source", "query")).select("query_id", "unit_id")
+    return durable(E.holding(V._questions(s, d), at or V._probe(s, d), u))
 
 
-def _lexical_top(s, d):
-    return V.topk_search(s, d)
+def _lexical_top(s, d, at=None):
+    at = at or V._probe(s, d)
+    return R.ranked(R.lexical(R.hits(at, V._n(s, d))).withColumnRenamed("lexical", "score"))
 
 
-def _metrics(s, d):
-    return E.rank_metrics(V._questions(s, d), _lexical_top(s, d), _accept(s, d))
+def _metrics(s, d, at, acc):
+    return E.rank_metrics(V._questions(s, d), _lexical_top(s, d, at), acc)
+
+
+def _judged(s, d):
+    """One probe of the index and the acceptable answers, which an evaluation shares."""
+    at = V._probe(s, d)
+    return at, _accept(s, d, at)
+
+
+def _declared(s, d, at):
+    return R.evidence(V._questions(s, d), at, V._n(s, d)).select("query_id", "sufficient")
 
 
 def _dims(s, d):
@@ -587,7 +598,7 @@ def _dims(s, d):
 
 @query("rank_metrics", f"{EVAL} SELECT query_id, hit_at_1, hit_at_k, round(rr, 6) AS rr FROM rm")
 def rank_metrics(s, d):
-    return _metrics(s, d).withColumn("rr", F.round("rr", 6))
+    return _metrics(s, d, *_judged(s, d)).withColumn("rr", F.round("rr", 6))
 
 
 _SETS = """SELECT {cols} FROM (SELECT *, 'all' AS dim, 'all' AS value FROM {t} UNION ALL SELECT *, 'language', language FROM {t} UNION ALL SELECT *, 'kind', kind FROM {t}) GROUP BY dim, value"""
@@ -595,15 +606,17 @@ _SETS = """SELECT {cols} FROM (SELECT *, 'all' AS dim, 'all' AS value FROM {t} U
 
 @query("ruler_report", f"{EVAL}, a AS (SELECT * FROM rm JOIN qd USING (query_id) JOIN (SELECT query_id, sufficient FROM ev) USING (query_id) WHERE query_id IN (SELECT query_id FROM acc)) " + _SETS.format(t="a", cols="dim, value, CAST(count(*) AS BIGINT) AS n, round(avg(hit_at_1), 6) AS hit_at_1, round(avg(hit_at_k), 6) AS hit_at_k, round(avg(rr), 6) AS mrr, CAST(count(*) FILTER (NOT sufficient) AS BIGINT) AS declined"))
 def ruler_report(s, d):
-    a = _metrics(s, d).join(_dims(s, d), "query_id").join(V._evidence(s, d).select("query_id", "sufficient"), "query_id")
-    a = a.join(_accept(s, d).select("query_id").distinct(), "query_id", "left_semi")
+    at, acc = _judged(s, d)
+    a = _metrics(s, d, at, acc).join(_dims(s, d), "query_id").join(_declared(s, d, at), "query_id")
+    a = a.join(acc.select("query_id").distinct(), "query_id", "left_semi")
     aggs = [F.count("*").alias("n"), F.round(F.avg("hit_at_1"), 6).alias("hit_at_1"), F.round(F.avg("hit_at_k"), 6).alias("hit_at_k"), F.round(F.avg("rr"), 6).alias("mrr"), F.count_if(~F.col("sufficient")).alias("declined")]
     return E.by_dimensions(a, ["language", "kind"], aggs)
 
 
 @query("silence_report", f"{EVAL}, a AS (SELECT * FROM ev JOIN qd USING (query_id) WHERE query_id NOT IN (SELECT query_id FROM acc)) " + _SETS.format(t="a", cols="dim, value, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN sufficient THEN 0.0 ELSE 1.0 END), 6) AS silence"))
 def silence_report(s, d):
-    a = V._evidence(s, d).join(_dims(s, d), "query_id").join(_accept(s, d).select("query_id").distinct(), "query_id", "left_anti")
+    at, acc = _judged(s, d)
+    a = _declared(s, d, at).join(_dims(s, d), "query_id").join(acc.select("query_id").distinct(), "query_id", "left_anti")
     return E.by_dimensions(a, ["language", "kind"], [F.count("*").alias("n"), F.round(F.avg(F.when(F.col("sufficient"), 0.0).otherwise(1.0)), 6).alias("silence")])
 
 
@@ -614,10 +627,10 @@ SELECT 'precision_at_k' AS metric, round(avg(good / CAST(got AS DOUBLE)), 6) AS
 UNION ALL SELECT 'top1', round(avg(hit_at_1), 6) FROM rm JOIN w USING (query_id) UNION ALL SELECT 'mrr', round(avg(rr), 6) FROM rm JOIN w USING (query_id)""",
 )
 def retrieval_metrics(s, d):
-    acc = _accept(s, d)
-    g = _lexical_top(s, d).join(acc.withColumn("good", F.lit(1)), ["query_id", "unit_id"], "left").groupBy("query_id").agg(F.count("*").alias("got"), F.count("good").alias("good"))
+    at, acc = _judged(s, d)
+    g = _lexical_top(s, d, at).join(acc.withColumn("good", F.lit(1)), ["query_id", "unit_id"], "left").groupBy("query_id").agg(F.count("*").alias("got"), F.count("good").alias("good"))
     w = acc.groupBy("query_id").agg(F.count("*").alias("want"))
-    j = w.join(g, "query_id", "left").join(_metrics(s, d), "query_id", "left")
+    j = w.join(g, "query_id", "left").join(_metrics(s, d, at, acc), "query_id", "left")
     one = j.agg(F.avg(F.col("good") / F.col("got")).alias("precision_at_k"), F.avg(F.col("good") / F.col("want")).alias("recall_at_k"), F.avg("hit_at_1").alias("top1"), F.avg("rr").alias("mrr"))
     names = ["precision_at_k", "recall_at_k", "top1", "mrr"]
     return one.unpivot([], names, "metric", "value").withColumn("value", F.round("value", 6))
@@ -631,8 +644,9 @@ def ruler_check(s, d):
 
 @query("absent_intruders", f"{EVAL} SELECT query_id, term, CAST(df AS BIGINT) AS df FROM st WHERE df > 0 AND query_id NOT IN (SELECT query_id FROM acc)")
 def absent_intruders(s, d):
-    st = R.term_states(V._probe(s, d), V._n(s, d)).where("df > 0")
-    return st.join(_accept(s, d).select("query_id").distinct(), "query_id", "left_anti").select("query_id", "term", "df")
+    at, acc = _judged(s, d)
+    st = R.term_states(at, V._n(s, d)).where("df > 0")
+    return st.join(acc.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "term", "df")
 
 
 _GREP = f"""WITH {QUERY}, ws AS (SELECT query_id, term AS word FROM qt WHERE length(term) >= 4),
@@ -659,7 +673,8 @@ _TESTPATH = "CASE WHEN language = 'fr' THEN 'tests/' || path ELSE path END"
 def displacement(s, d):
     u = C.units(C.table(s, d, "documents"))
     tests = u.where(E.is_test(F.when(F.col("language") == "fr", F.concat(F.lit("tests/"), "path")).otherwise(F.col("path")))).select("unit_id")
-    return E.displacement(_lexical_top(s, d), _accept(s, d), tests)
+    at, acc = _judged(s, d)
+    return E.displacement(_lexical_top(s, d, at), acc, tests)
 
 
 @query("is_test_pred", f"WITH {UNITS} SELECT DISTINCT p AS path, is_test FROM (SELECT {_TESTPATH} AS p, language = 'fr' AS is_test FROM units UNION ALL SELECT * FROM (VALUES ('a/test_x.py', true), ('a/x_test.go', true), ('contest/x.py', false), ('a/testdata/x', true), ('tests', false)) v(p, t))")
