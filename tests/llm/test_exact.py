@@ -302,6 +302,17 @@ def test_a_stream_that_holds_itself_ends():
     assert _has(outer) and _has(f"{outer} {outer}")
 
 
+def test_a_table_of_secrets(spark, docs_schema):
+    """The query's rows are what each text gives by itself."""
+    texts = [None, "", *(f"né {x} . {SECRET}" for x in WRAPS.values()), SECRET * 3, "x" * 10_000]
+    got = {r["doc_id"]: r for r in secrets.detect(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], docs_schema)).collect()}
+    for i, t in enumerate(texts):
+        base, full = secrets.scan(t or "")
+        assert got[i]["spans"] == secrets.written(full) and got[i]["n_decoded"] == len(full) - len(base)
+        assert got[i]["base_sha256"] == hashlib.sha256(secrets.written(base).encode()).hexdigest() and got[i]["n_assign"] == sum(k == 0 for _, k, _ in base)
+    assert sum(r["n_decoded"] for r in got.values()) >= len(WRAPS)
+
+
 def test_layers_end_and_leave_prose_alone():
     assert secrets.scan("%2525252541 " * 5)[1] == []
     assert secrets.scan("plain words of considerableunbrokenlength and 100% sure")[1] == []
@@ -362,7 +373,9 @@ def test_candidates_are_runs_not_tokens():
     assert len(pii.candidates("1 " * 30_000, [])) < 60 and pii.candidates("a" * 90_000 + "1", []) == []
 
 
-def test_patterns_find_spaced_identifiers(spark, docs_schema):
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_patterns_find_spaced_identifiers(spark, docs_schema, monkeypatch, broadcast):
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", broadcast)
     rng = random.Random(2)
     noise = [f"w{chr(97 + i)}" for i in range(20)]
 

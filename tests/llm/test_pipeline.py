@@ -1,6 +1,7 @@
 """The pipeline's stages one after the other, against plain versions of each."""
 
 import collections
+import os
 import random
 import struct
 import zlib
@@ -82,6 +83,17 @@ def test_stages_equal_plain_versions(spark, tmp_path):
         assert all(a[0] + a[1] == b[0] for a, b in zip(sorted(cells), sorted(cells)[1:], strict=False)) and sum(n for _, n in cells) <= 2048
 
 
+def test_run_keeps_the_last_stage_alone(spark):
+    from siftwell.llm import common
+
+    got = C.run(spark, DIR)
+    (file, *_) = got.inputFiles()
+    assert got.count() > 0 and got.columns[:3] == ["doc_id", "start", "length"] and "3-pack" in file
+    folder = file.removeprefix("file://").split("/3-pack")[0]
+    assert common.shared_dir(spark).removeprefix("file:").lstrip("/") in folder
+    assert [x for x in os.listdir(folder) if not x.startswith(".")] == ["3-pack"]
+
+
 WORDS = "the quick brown fox jumps over lazy dogs while rain falls on old roofs and nobody sings a song about it".split()
 
 
