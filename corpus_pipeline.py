@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm import langid, neardup, packing, pii
 from siftwell.llm.catalog import public_file
-from siftwell.llm.common import fresh_dir, small_batches, table
+from siftwell.llm.common import fresh_dir, removed, small_batches, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -55,9 +55,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_dir(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    docs, before = table(spark, sf_dir, "documents").select(*COLUMNS), None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            removed(spark, before)
+        before = path
     return docs
