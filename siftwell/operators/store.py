@@ -24,13 +24,14 @@ def relocations(entries: DataFrame, digest: str = "hash") -> DataFrame:
 def applicable(units: DataFrame, entries: DataFrame) -> DataFrame:
     """(unit_id, tier, text): the first of id and source, path and source, id and code,
     path and code. Later tiers only see the units that earlier ones leave."""
-    out, left = None, units
+    out, left = None, units.select("unit_id", "path", "hash", "code_hash")
     for tier, (key, digest) in enumerate((("unit_id", "hash"), ("path", "hash"), ("unit_id", "code_hash"), ("path", "code_hash")), 1):
         if key == "unit_id":
-            known = entries.where(F.col(digest).isNotNull()).select("unit_id", F.col(digest).alias("digest"), "text").dropDuplicates(["unit_id"])
+            known = entries.where(F.col(digest).isNotNull()).select(F.col("unit_id").alias("_key"), F.col(digest).alias("_digest"), "text").dropDuplicates(["_key"])
         else:
-            known = relocations(entries, digest).where("not ambiguous").select("path", "digest", "text")
-        got = left.join(known, (left[key] == known[key]) & (left[digest] == known["digest"])).select(left["unit_id"], F.lit(tier).cast("long").alias("tier"), "text")
+            known = relocations(entries, digest).where("not ambiguous").select(F.col("path").alias("_key"), F.col("digest").alias("_digest"), "text")
+        # named apart, as entries may come from the units themselves
+        got = left.join(known, (F.col(key) == F.col("_key")) & (F.col(digest) == F.col("_digest"))).select("unit_id", F.lit(tier).cast("long").alias("tier"), "text")
         out = got if out is None else out.unionByName(got)
         left = left.join(got.select("unit_id"), "unit_id", "left_anti")
     return out

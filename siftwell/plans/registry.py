@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import retrieval, structure
+from . import declared, retrieval, structure
 
-FAMILIES = (retrieval, structure)
+FAMILIES = (retrieval, structure, declared)
 
 
 def queries() -> dict:
