@@ -11,7 +11,24 @@ FIELDS = ("name", "signature", "description", "relations", "body")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer partitions than the session has cores is dealt over them, as
+    a single small file would otherwise be one task's work."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in WIDE and _few_bytes(df, spark):
+        return df.repartition(cores)
+    return df
+
+
+#: Tables with long texts, whose rows cost much each.
+WIDE = frozenset(["documents", "pages", "conversations"])
+FEW_BYTES = 64 << 20
+
+
+def _few_bytes(df: DataFrame, spark: SparkSession) -> bool:
+    """Whether the files of a scan hold less than FEW_BYTES a core, by its own statistics."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) < FEW_BYTES * spark.sparkContext.defaultParallelism
 
 
 def units(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import text as T
 
 from .corpus import FIELDS, fields, long_fields
+from .durable import durable
 
 WEIGHTS = {"name": 8.0, "signature": 4.0, "description": 3.0, "relations": 2.0, "body": 1.0}
 K1, B = 1.2, 0.75
@@ -41,22 +42,32 @@ def field_avg_len(u: DataFrame) -> DataFrame:
 
 
 def postings(u: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(term, unit_id, mass): sum over fields of weight / saturation per occurrence.
-    Each occurrence carries its field's factor, so one aggregation makes the index. With
-    terms (term), few enough to broadcast, only theirs: lengths count all tokens, but
-    other occurrences go before anything is aggregated."""
+    """(term, unit_id, mass): sum over fields of weight / saturation per occurrence. Texts
+    are tokenised once: a unit's occurrences per field go into the postings beside its field
+    lengths, a row without a term stands for the unit itself, and the averages that the
+    masses need come from these. With terms (term), few enough to broadcast, other
+    occurrences go before anything is aggregated."""
     t = tokenized(u)
-    # one row
-    j = t.crossJoin(F.broadcast(average_lengths(t)))
+    lengths = [f"n_{x}" for x in FIELDS]
 
-    def marked(x: str):
-        share = F.lit(WEIGHTS[x]) / (F.lit(1 - B) + F.lit(B) * F.col(f"n_{x}") / F.col(f"avg_{x}"))
-        return F.transform(f"t_{x}", lambda w: F.struct(w.alias("term"), share.alias("m")))
+    def marked(i: int, x: str):
+        return F.transform(f"t_{x}", lambda w: F.struct(w.alias("term"), F.lit(i).alias("f")))
 
-    each = j.select("unit_id", F.explode(F.concat(*[marked(x) for x in FIELDS])).alias("p")).select("unit_id", "p.term", "p.m")
+    own = F.array(F.struct(F.lit("").alias("term"), F.lit(-1).alias("f")))
+    each = t.select("unit_id", *lengths, F.explode(F.concat(own, *[marked(i, x) for i, x in enumerate(FIELDS)])).alias("p")).select("unit_id", *lengths, "p.term", "p.f")
     if terms is not None:
-        each = each.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-    return each.groupBy("term", "unit_id").agg(F.sum("m").alias("mass"))
+        asked = terms.select("term").distinct()
+        each = each.join(F.broadcast(asked.unionByName(asked.sparkSession.createDataFrame([("",)], "term string"))), "term", "left_semi")
+    per = each.groupBy("term", "unit_id").agg(*[F.count_if(F.col("f") == i).alias(f"tf_{x}") for i, x in enumerate(FIELDS)], *[F.first(n).alias(n) for n in lengths])
+    per = durable(per)
+    avg = per.where("term = ''").agg(*[F.avg(f"n_{x}").alias(x) for x in FIELDS])
+    avg = avg.select(*[F.when(F.coalesce(F.col(x), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col(x)).alias(f"avg_{x}") for x in FIELDS])
+    # one row
+    j = per.where("term <> ''").crossJoin(F.broadcast(avg))
+    mass = F.lit(0.0)
+    for x in FIELDS:
+        mass = mass + F.col(f"tf_{x}") * (F.lit(WEIGHTS[x]) / (F.lit(1 - B) + F.lit(B) * F.col(f"n_{x}") / F.col(f"avg_{x}")))
+    return j.select("term", "unit_id", mass.alias("mass"))
 
 
 def doc_freq(p: DataFrame) -> DataFrame:

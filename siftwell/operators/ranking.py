@@ -39,19 +39,45 @@ def lookup(terms: DataFrame, p: DataFrame) -> DataFrame:
 
 @dataclass
 class Probe:
-    """One pass of the index by the questions' terms. found: (query_id, term, unit_id,
-    mass), written once, as evidence and scores all start from it; df: (query_id, term, df) of the
-    terms that are in the index, a row per question term at most."""
+    """The index as the questions' terms reach it. found: (query_id, term, unit_id, mass), a
+    map-side join of the postings and never written, as it is the largest of all; df:
+    (query_id, term, df) of the terms that are in the index, a row per question term at most."""
 
     terms: DataFrame
     found: DataFrame
     df: DataFrame
+    kept: DataFrame | None = None
+
+    def scored(self, n: DataFrame) -> DataFrame:
+        """(query_id, unit_id, held, s, rare): from one pass over found, written once: the
+        worth of the distinctive terms that a unit holds, the saturated masses, and whether
+        a selective term reached it. Evidence, scores and candidates all read this."""
+        if self.kept is None:
+            h = hits(self, n)
+            self.kept = durable(
+                h.groupBy("query_id", "unit_id").agg(
+                    F.sum(F.when(~is_ubiquitous(F.col("df"), F.col("n")), F.col("idf"))).alias("held"),
+                    F.sum(F.col("idf") * F.col("mass") * (K1 + 1) / (F.col("mass") + K1)).alias("s"),
+                    F.max(F.col("df") <= selective_bar(F.col("n"))).alias("rare"),
+                )
+            )
+        return self.kept
+
+    def lexical(self, n: DataFrame) -> DataFrame:
+        """(query_id, unit_id, lexical, rare)."""
+        worth = self.df.crossJoin(F.broadcast(n)).groupBy("query_id").agg((F.sum(idf(F.col("df"), F.col("n"))) * (K1 + 1)).alias("ceiling"))
+        return self.scored(n).join(small(worth), "query_id").select("query_id", "unit_id", (F.col("s") / F.col("ceiling")).alias("lexical"), "rare")
 
 
 def probe(q: DataFrame, p: DataFrame) -> Probe:
-    terms = query_terms(q)
-    found = durable(lookup(terms, p))
-    return Probe(terms, found, found.groupBy("query_id", "term").agg(F.count("*").alias("df")))
+    terms = durable(query_terms(q))
+    df = p.join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    return Probe(terms, lookup(terms, p), durable(terms.join(df, "term").select("query_id", "term", "df")))
+
+
+def selective_bar(n):
+    """The number of units up to which a term is selective."""
+    return F.greatest(F.lit(64), F.least(F.lit(2048), F.floor(n / 10)))
 
 
 def hits(at: Probe, n: DataFrame) -> DataFrame:
@@ -77,9 +103,7 @@ def evidence(q: DataFrame, at: Probe, n: DataFrame, min_coverage: float = MIN_CO
         F.count_if(F.col("state") == "matched").alias("matched"), F.count_if(F.col("state") == "ubiquitous").alias("ubiquitous"),
         F.sum(F.when(F.col("state") == "matched", w).when(F.col("state") == "absent", idf(F.lit(1), F.col("n"))).otherwise(0.0)).alias("budget"),
     )
-    h = hits(at, n).where(~is_ubiquitous(F.col("df"), F.col("n")))
-    best = h.groupBy("query_id", "unit_id").agg(F.sum("idf").alias("held"))
-    best = best.groupBy("query_id").agg(F.max("held").alias("held"))
+    best = at.scored(n).groupBy("query_id").agg(F.max("held").alias("held"))
     j = q.select("query_id").join(per, "query_id", "left").join(best, "query_id", "left").crossJoin(F.broadcast(n))
     for c in ("query_terms", "considered", "matched", "ubiquitous"):
         j = j.withColumn(c, F.coalesce(c, F.lit(0)))
@@ -111,8 +135,7 @@ def lexical(h: DataFrame) -> DataFrame:
 def selective(h: DataFrame) -> DataFrame:
     """(query_id, unit_id) that get a vector score: units of selective terms, or all
     lexical hits if there are none of those and the hits are few."""
-    t = F.greatest(F.lit(64), F.least(F.lit(2048), F.floor(F.col("n") / 10)))
-    h = h.withColumn("t", t)
+    h = h.withColumn("t", selective_bar(F.col("n")))
     rare = h.where("df <= t").select("query_id", "unit_id").distinct()
     per = h.groupBy("query_id").agg(F.count_distinct("unit_id").alias("hit"), F.min("df").alias("least"), F.max("t").alias("t"))
     few = per.where("least > t and hit <= t").select("query_id")
@@ -134,16 +157,20 @@ def hybrid(
     real semantics the ``recall`` nearest units without a lexical hit are candidates too. A
     query that passes (the bars allow it) without any lexical hit is answered by vectors."""
     enough = durable(evidence(q, at, n, min_coverage, min_concentration).where("sufficient").select("query_id"))
-    h = hits(Probe(at.terms, at.found.join(small(enough, 100_000), "query_id", "left_semi"), at.df), n)
-    near = selective(h).join(unit_vectors, "unit_id").join(query_vectors, "query_id")
+    lex = at.lexical(n).join(small(enough, 100_000), "query_id", "left_semi")
+    # queries without a selective term, of few hits, take all of these
+    least = at.df.groupBy("query_id").agg(F.min("df").alias("least"))
+    few = lex.groupBy("query_id").agg(F.count("*").alias("hit")).join(least, "query_id").crossJoin(F.broadcast(n))
+    few = few.where((F.col("least") > selective_bar(F.col("n"))) & (F.col("hit") <= selective_bar(F.col("n")))).select("query_id", F.lit(True).alias("few"))
+    near = lex.join(small(few, 100_000), "query_id", "left").where("rare or few").select("query_id", "unit_id")
+    near = near.join(unit_vectors, "unit_id").join(small(query_vectors, 10_000), "query_id")
     near = near.select("query_id", "unit_id", cosine(F.col("unit_vector"), F.col("query_vector")).alias("cos"))
-    j = lexical(h).join(near, ["query_id", "unit_id"], "left")
+    j = lex.join(near, ["query_id", "unit_id"], "left")
     out = j.select("query_id", "unit_id", (F.col("lexical") + vector_weight * F.greatest(F.lit(0.0), F.coalesce("cos", F.lit(0.0)))).alias("score"))
     asked = query_vectors.join(enough, "query_id", "left_semi")
-    known = h.select("query_id").distinct()
+    known = at.df.select("query_id").distinct()
     if semantic:
-        lex = h.select("query_id", "unit_id").distinct()
-        more = nearest(lex, unit_vectors, asked.join(known, "query_id", "left_semi"), recall)
+        more = nearest(lex.select("query_id", "unit_id"), unit_vectors, asked.join(known, "query_id", "left_semi"), recall)
         out = out.unionByName(more.select("query_id", "unit_id", (vector_weight * F.col("cos")).alias("score")).where("score > 0"))
     if min_coverage <= 0 and min_concentration <= 0:  # else nothing passes without a hit
         out = out.unionByName(fallback(unit_vectors, asked.join(known, "query_id", "left_anti"), vector_weight))

@@ -44,9 +44,9 @@ def _postings(s, d):
 
 
 def _asked(s, d, q):
-    """The part of the index that the questions' terms reach, written once: frequencies,
-    evidence and scores all read it."""
-    return durable(I.postings(_units(s, d), R.query_terms(q)))
+    """The part of the index that the questions' terms reach, which postings() writes
+    once: frequencies, evidence and scores all read it."""
+    return I.postings(_units(s, d), R.query_terms(q))
 
 
 # text
@@ -285,14 +285,14 @@ def _hits(s, d):
 
 @query("bm25f_search", f"WITH {RANK} SELECT query_id, CAST(rank AS BIGINT) AS rank, unit_id, score FROM (SELECT query_id, unit_id, round(lexical, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 6) DESC, unit_id) AS rank FROM lex)")
 def bm25f_search(s, d):
-    scores = R.lexical(_hits(s, d)).withColumn("score", F.round("lexical", 6))
+    scores = _probe(s, d).lexical(_n(s, d)).withColumn("score", F.round("lexical", 6))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("unit_id"))
     return scores.select("query_id", F.row_number().over(w).cast("long").alias("rank"), "unit_id", "score")
 
 
 @query("topk_search", f"WITH {RANK} SELECT query_id, CAST(rank AS BIGINT) AS rank, unit_id, score FROM (SELECT query_id, unit_id, round(lexical, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 6) DESC, unit_id) AS rank FROM lex) WHERE rank <= 8")
 def topk_search(s, d):
-    return R.ranked(R.lexical(_hits(s, d)).withColumnRenamed("lexical", "score"))
+    return R.ranked(_probe(s, d).lexical(_n(s, d)).withColumnRenamed("lexical", "score"))
 
 
 def _hybrid(s, d, at=None):
@@ -326,7 +326,7 @@ r AS (SELECT s.*, row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC
 SELECT query_id, CAST(rank AS BIGINT) AS rank, unit_id, score FROM r WHERE rank <= 50""",
 )
 def vector_recall(s, d):
-    lex = _hits(s, d).select("query_id", "unit_id").distinct()
+    lex = _probe(s, d).scored(_n(s, d)).select("query_id", "unit_id")
     return R.nearest(lex, *_vectors(s, d)).withColumnRenamed("cos", "score")
 
 
@@ -365,7 +365,7 @@ def cosine_fallback(s, d):
     disguised = F.regexp_replace("text", "([A-Za-z0-9_]+)", "zq$1qz")
     q = C.questions(b).unionByName(b.select((-1 - F.col("item_id")).alias("query_id"), disguised.alias("query")))
     at = R.probe(q, _asked(s, d, q))
-    known = at.found.select("query_id").distinct()
+    known = at.df.select("query_id").distinct()
     passed = R.evidence(q, at, _n(s, d), 0.0, 0.0).where("sufficient").select("query_id").join(known, "query_id", "left_anti")
     u, _ = _vectors(s, d)
     of = F.when(F.col("query_id") < 0, -1 - F.col("query_id")).otherwise(F.col("query_id"))

@@ -137,7 +137,7 @@ class Session:
             uv = self.index["vectors"].select("unit_id", F.col("vector").cast("array<double>").alias("unit_vector"))
             scores = R.hybrid(q, at, self.n, uv, qv, self.cfg["search.vector_weight"], self.embedder.semantic and self.cfg["search.vector_recall"] > 0, self.cfg["search.vector_recall"], *bars)
         else:
-            scores = R.lexical(R.hits(at, self.n)).withColumnRenamed("lexical", "score")
+            scores = at.lexical(self.n).withColumnRenamed("lexical", "score")
         return ev, states, durable(R.ranked(scores, limit)), at
 
     def _diagnosis(self, ev: dict, states: list) -> dict:
@@ -305,7 +305,7 @@ def replies(batch: DataFrame, index: dict, limit: int = R.LIMIT) -> DataFrame:
     n = index["units"].agg(F.count("*").alias("n"))
     at = R.probe(q, index["postings"])
     ev = durable(R.evidence(q, at, n))
-    scores = R.lexical(R.hits(at, n)).join(ev.where("sufficient").select("query_id"), "query_id", "left_semi").withColumnRenamed("lexical", "score")
+    scores = at.lexical(n).join(ev.where("sufficient").select("query_id"), "query_id", "left_semi").withColumnRenamed("lexical", "score")
     top = R.ranked(scores, limit).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "unit_id", "score"))).alias("results"))
     j = r.join(ev.select("query_id", "reason"), "query_id", "left").join(top, "query_id", "left")
     return j.select("id", "error", F.when(F.col("reason") != "", F.col("reason")).alias("diagnosis"), F.to_json("results").alias("results"))
