@@ -109,8 +109,10 @@ def search(q: np.ndarray, q_ids: np.ndarray, v_ids: np.ndarray, tree: Tree, best
             ids = v_ids[tree.order[lo:hi]]
             score = q[at] @ tree.v[lo:hi].T
             score[q_ids[at][:, None] == ids[None, :]] = -np.inf
-            best.add(at, score, ids)
             seen += len(at) * (hi - lo)
+            hit = score.max(axis=1) >= np.maximum(best.score[at, -1], bar[at])
+            if hit.any():
+                best.add(at[hit], score[hit], ids)
             return
         x, y = bound(left, at), bound(left + 1, at)
         first = x >= y
@@ -144,7 +146,7 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding",
-          shard_rows: int = 4096, block_rows: int = 1024, leaf_rows: int = 64, run_shards: int = 4) -> DataFrame:
+          shard_rows: int = 4096, block_rows: int = 1024, leaf_rows: int = 256, run_shards: int = 4) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows for each row with an id that
     ``every`` divides."""
     rows = usable(df, id_col, vec_col)
