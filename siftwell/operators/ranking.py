@@ -17,6 +17,13 @@ from siftwell.functions import text as T
 from .durable import durable
 from .index import K1, idf, is_ubiquitous
 
+#: What helps after each kind of empty answer.
+HINTS = {
+    "no_query_term_in_index": "No word of the question is in the index. Ask in the words of the code, or describe units so that they gain such words.",
+    "only_ubiquitous_terms_matched": "Only words that stand all over this repository matched. Add one that is special to what is sought.",
+    "too_little_of_the_query_matched": "Too few words of the question are in the index for more than a guess. Use the words of the code, or lower search.min_coverage.",
+    "matched_terms_are_scattered": "The words that matched never stand together in one unit: the repository may well not have what is asked for.",
+}
 MIN_COVERAGE, MIN_CONCENTRATION, FULL_SIZE = 0.40, 0.28, 200
 VECTOR_WEIGHT, VECTOR_RECALL, LIMIT = 0.15, 50, 8
 BROADCAST_TERMS = 1_000_000
@@ -125,6 +132,21 @@ def evidence(q: DataFrame, at: Probe, n: DataFrame, min_coverage: float = MIN_CO
     return j.select("query_id", "query_terms", "considered", "matched", "ubiquitous", "coverage", "concentration", enough.alias("sufficient"), reason.alias("reason"))
 
 
+def diagnosed(ev: DataFrame, n: DataFrame, min_coverage: float = MIN_COVERAGE, min_concentration: float = MIN_CONCENTRATION) -> DataFrame:
+    """(query_id, reason, query_terms, matched_terms, ubiquitous_terms, coverage,
+    concentration, applied_min_coverage, applied_min_concentration, hint) of evidence(): why
+    there is no answer, in figures of four places, and what helps."""
+    scale = F.least(F.lit(1.0), F.col("n") / FULL_SIZE)
+    hint = F.lit("")
+    for reason, text in HINTS.items():
+        hint = F.when(F.col("reason") == reason, text).otherwise(hint)
+    return ev.crossJoin(F.broadcast(n)).select(
+        "query_id", "reason", *[F.col(a).cast("long").alias(b) for a, b in (("query_terms", "query_terms"), ("matched", "matched_terms"), ("ubiquitous", "ubiquitous_terms"))],
+        F.round("coverage", 4).alias("coverage"), F.round("concentration", 4).alias("concentration"),
+        F.round(min_coverage * scale, 4).alias("applied_min_coverage"), F.round(min_concentration * scale, 4).alias("applied_min_concentration"), hint.alias("hint"),
+    )
+
+
 def lexical(h: DataFrame) -> DataFrame:
     """(query_id, unit_id, lexical): saturated masses over the query's ceiling; h: hits()."""
     ceiling = h.groupBy("query_id", "term").agg(F.max("idf").alias("idf")).groupBy("query_id").agg((F.sum("idf") * (K1 + 1)).alias("ceiling"))
@@ -218,6 +240,13 @@ def within_budget(rows: DataFrame, max_chars: int) -> DataFrame:
     return rows.withColumn("running", F.sum("size").over(w)).where((F.col("running") <= max_chars) | (F.col("rank") == 1))
 
 
+def omitted(rows: DataFrame, max_chars: int) -> DataFrame:
+    """(query_id, shown, omitted_for_budget): how many of a query's rows (query_id, rank,
+    size) fit its budget, and how many don't."""
+    kept = within_budget(rows, max_chars).groupBy("query_id").agg(F.count("*").alias("shown"))
+    return rows.groupBy("query_id").agg(F.count("*").alias("all")).join(kept, "query_id", "left").select("query_id", F.coalesce("shown", F.lit(0)).alias("shown"), (F.col("all") - F.coalesce("shown", F.lit(0))).alias("omitted_for_budget"))
+
+
 def dominance(ranked_rows: DataFrame) -> DataFrame:
     """(query_id, dominance): how far the first result leads the second."""
     g = ranked_rows.where("rank <= 2").groupBy("query_id").agg(

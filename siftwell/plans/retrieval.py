@@ -250,10 +250,14 @@ _REASON = """CASE WHEN sufficient THEN '' WHEN matched = 0 AND ubiquitous > 0 TH
  WHEN coverage < 0.40 * scale THEN 'too_little_of_the_query_matched' ELSE 'matched_terms_are_scattered' END"""
 
 
-@query("diagnosis", f"WITH {EVID} SELECT query_id, {_REASON} AS reason, CAST(query_terms AS BIGINT) AS query_terms, CAST(matched AS BIGINT) AS matched_terms, CAST(ubiquitous AS BIGINT) AS ubiquitous_terms FROM ev")
+_HINT = "CASE reason " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in R.HINTS.items()) + " ELSE '' END"
+
+
+@query("diagnosis", f"""WITH {EVID}, r AS (SELECT *, {_REASON} AS reason FROM ev) SELECT query_id, reason, CAST(query_terms AS BIGINT) AS query_terms, CAST(matched AS BIGINT) AS matched_terms, CAST(ubiquitous AS BIGINT) AS ubiquitous_terms,
+  round(coverage, 4) AS coverage, round(concentration, 4) AS concentration, round(0.40 * scale, 4) AS applied_min_coverage, round(0.28 * scale, 4) AS applied_min_concentration, {_HINT} AS hint FROM r""")
 def diagnosis(s, d):
-    e = _evidence(s, d)
-    return e.select("query_id", "reason", *[F.col(a).cast("long").alias(b) for a, b in (("query_terms", "query_terms"), ("matched", "matched_terms"), ("ubiquitous", "ubiquitous_terms"))])
+    n = _n(s, d)
+    return R.diagnosed(R.evidence(_questions(s, d), _probe(s, d), n), n)
 
 
 @query(
@@ -402,6 +406,24 @@ def within_budget(s, d):
     return R.within_budget(u.join(R.small(_hybrid(s, d)), "unit_id"), 12_000).select("query_id", "rank", "unit_id", "running")
 
 
+@query(
+    "omitted_for_budget",
+    f"""WITH {RANK}, b AS (SELECT t.query_id, t.rank, sum({_BLOCK}) OVER (PARTITION BY t.query_id ORDER BY t.rank) AS running FROM top t JOIN units u USING (unit_id))
+SELECT query_id, count(*) FILTER (running <= 12000 OR rank = 1) AS shown, count(*) FILTER (running > 12000 AND rank > 1) AS omitted_for_budget FROM b GROUP BY query_id""",
+)
+def omitted_for_budget(s, d):
+    u = _units(s, d).select("unit_id", (F.length("path") + F.length("description") + F.length("source") + 16).cast("long").alias("size"))
+    return R.omitted(u.join(R.small(_hybrid(s, d)), "unit_id"), 12_000)
+
+
+@query("trace_projection", f"WITH {RANK} SELECT t.query_id, t.rank, t.unit_id AS id, t.score, string_agg(qt.term, ' ' ORDER BY qt.term) AS matched_terms FROM top t JOIN qt USING (query_id) JOIN postings p ON p.term = qt.term AND p.unit_id = t.unit_id GROUP BY ALL")
+def trace_projection(s, d):
+    """A search's step as a trace: ids, scores and words, without any source."""
+    at = _probe(s, d)
+    top = _hybrid(s, d, at)
+    return top.join(R.matched_terms(top, at), ["query_id", "unit_id"]).select("query_id", "rank", F.col("unit_id").alias("id"), "score", F.col("terms").alias("matched_terms"))
+
+
 @query(
     "dominance",
     f"""WITH {RANK} SELECT query_id, round(CASE WHEN coalesce(a, 0) = 0 THEN 0.0 WHEN b IS NULL THEN 1.0 ELSE (a - b) / a END, 6) AS dominance

@@ -422,14 +422,26 @@ def vector_reuse(s, d):
     return S.vector_reuse(now, was)
 
 
-@query("index_degraded", "SELECT 'vectors' AS table_name, (SELECT count(*) FROM documents ANTI JOIN embeddings ON vec_id = doc_id) > 0 AS degraded UNION ALL SELECT 'labels', (SELECT count(*) FROM documents ANTI JOIN labels USING (doc_id)) > 0")
+@query("index_degraded", "SELECT * FROM (VALUES ('whole', false), ('no_vectors', true), ('other_width', true)) v(published, degraded)")
 def index_degraded(s, d):
-    docs = C.table(s, d, "documents").select("doc_id")
-
-    def lacks(name, other):
-        return docs.join(other, "doc_id", "left_anti").agg(F.lit(name).alias("table_name"), (F.count("*") > 0).alias("degraded"))
-
-    return lacks("vectors", C.table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"))).unionByName(lacks("labels", C.table(s, d, "labels").select("doc_id")))
+    """Three indexes of the benchmark passages are published and loaded: one whole, one
+    without vectors, one whose vectors have another width than it says."""
+    import uuid
+
+    from siftwell.operators.durable import shared_dir
+    from siftwell.sources import index_store
+
+    b = C.table(s, d, "benchmark")
+    units = C.units(b.select(F.col("item_id").alias("doc_id"), "text", F.lit("en").alias("lang"), F.lit("bench").alias("source"))).drop("doc_id")
+    edges = s.createDataFrame([], "source string, target string, kind string, label string")
+    v = units.select("unit_id", F.array_repeat(F.lit(1.0), 32).alias("vector"))
+    root = f"{shared_dir(s).removeprefix('file://')}/degraded-{uuid.uuid4().hex}"
+    rows = []
+    for name, vectors, width in (("whole", v, 32), ("no_vectors", None, 32), ("other_width", v, 64)):
+        index_store.publish(f"{root}/{name}", units, edges, vectors, {"dimensions": width})
+        got = index_store.load(s, f"{root}/{name}")
+        rows.append((name, got["degraded"] is not None))
+    return s.createDataFrame(rows, "published string, degraded boolean")
 
 
 @query("synth_repo", "SELECT 'module_' || printf('%05d', f) || '.py' AS path, CAST(count(*) AS BIGINT) AS n_functions FROM range(500) a(f), range(20) b(g) GROUP BY 1")

@@ -57,13 +57,6 @@ class StaleMonitor:
         return self.last
 
 
-#: What helps after each kind of empty answer.
-HINTS = {
-    "no_query_term_in_index": "No word of the question is in the index. Ask in the words of the code, or describe units so that they gain such words.",
-    "only_ubiquitous_terms_matched": "Only words that stand all over this repository matched. Add one that is special to what is sought.",
-    "too_little_of_the_query_matched": "Too few of the question's words are in the index for more than a guess. Use the code's words, or lower search.min_coverage.",
-    "matched_terms_are_scattered": "The words that matched never stand together in one unit: the repository may well not have what is asked for.",
-}
 SHOWN = ("path", "language", "kind", "qualified_name", "signature", "start_line", "end_line", "description")
 
 
@@ -149,7 +142,7 @@ class Session:
         return {
             "reason": ev["reason"], "query_terms": ev["query_terms"], "distinctive_terms": of("matched", "absent"), "matched_terms": of("matched"),
             "ubiquitous_terms": of("ubiquitous"), "coverage": round(ev["coverage"], 4), "concentration": round(ev["concentration"], 4),
-            **bars, **{f"applied_{k}": round(v * scale, 4) for k, v in bars.items()}, "hint": HINTS.get(ev["reason"], ""),
+            **bars, **{f"applied_{k}": round(v * scale, 4) for k, v in bars.items()}, "hint": R.HINTS.get(ev["reason"], ""),
         }
 
     def _shown(self, winners: DataFrame, at, max_chars: int) -> tuple[list[dict], str, int]:

@@ -242,3 +242,30 @@ def test_command_line(spark, repo, capsys, monkeypatch, tmp_path):
     assert run("agent", "--root", root) == 0
     first, second = capsys.readouterr().out.strip().splitlines()
     assert json.loads(first)["units"] == 4 and json.loads(second)["error"] == "invalid_json"
+
+
+def test_old_versions_go_and_postings_are_sorted(spark, repo):
+    import os
+
+    root, index = repo
+    for _ in range(4):
+        rebuild.refresh(spark, root, index, CFG, full=True)
+    versions = [x for x in os.listdir(index) if x.startswith("v-")]
+    assert sorted(int(v.rsplit("-", 1)[1]) for v in versions) == [3, 4]  # a reader may hold the one before
+    os.makedirs(f"{index}/v-not-ours")
+    rebuild.refresh(spark, root, index, CFG, full=True)
+    assert os.path.isdir(f"{index}/v-not-ours")
+    got = index_store.load(spark, index)["postings"]
+    for name in sorted({r["f"] for r in got.select(F.input_file_name().alias("f")).distinct().collect()}):
+        rows = [(r["term"], r["unit_id"]) for r in spark.read.parquet(name).collect()]
+        assert rows == sorted(rows)
+
+
+def test_limit_of_zero_and_bad_numbers(spark, repo):
+    s = opened(spark, repo)
+    assert s.reply('{"query":"charge card","limit":0}')["results"] == []
+    assert len(s.reply('{"query":"charge card","limit":-3}')["results"]) == 0
+    assert s.reply('{"query":"charge card","limit":1e400}')["results"]
+    assert s.reply('{"action":"neighbors","id":"pay/charge.py:9:gateway_send","hops":0}')["neighbors"] == []
+    zero = s.reply('{"action":"search","query":"refund invoice","graph":true,"hops":0,"limit":1}')
+    assert [r["id"].split(":")[0] for r in zero["results"]] == ["pay/refund.py"]
