@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import durable
+from .ranking import small
+
 EDGE_BUDGET = 64
 DECAY = {"calls": 0.7, "contains": 0.5, "imports": 0.3}
 OTHER_DECAY = 0.4
@@ -116,28 +119,38 @@ def decay(kind):
     return w
 
 
-def neighbors(edges: DataFrame, starts: DataFrame, hops: int = 1, direction: str = "both") -> DataFrame:
+def neighbors(edges: DataFrame, starts: DataFrame, hops: int = 1, direction: str = "both", units: DataFrame | None = None) -> DataFrame:
     """(start_id, hop, rank, unit_id, path, weight) breadth first from starts (start_id):
     each node once, by the first path that reaches it in edge order; weight is the product
-    of that path's decays. Unrolled joins, at most MAX_HOPS; a visited node is dropped by
-    an anti join."""
+    of that path's decays. With units (unit_id, each once), edges to anything else are
+    passed over, so that edges need no check of their own: only what a hop reaches is looked
+    up. At most MAX_HOPS; each hop is written before the next one, whose join it decides: a
+    front of checked size goes to the edges, which then don't move."""
     if direction not in ("out", "in", "both"):
         raise ValueError(f"direction must be out, in or both, got {direction!r}")
-    e = edges.select("source", "target", "kind").dropDuplicates()
     step = F.concat(F.col("kind"), F.lit(":"), "source", F.lit("->"), "target").alias("step")
-    out = e.select(F.col("source").alias("at"), F.lit(0).alias("dir"), F.col("kind").alias("k1"), F.col("target").alias("k2"), step, decay(F.col("kind")).alias("w"), F.col("target").alias("to"))
-    into = e.select(F.col("target").alias("at"), F.lit(1).alias("dir"), F.col("source").alias("k1"), F.col("kind").alias("k2"), step, decay(F.col("kind")).alias("w"), F.col("source").alias("to"))
+    out = edges.select(F.col("source").alias("at"), F.lit(0).alias("dir"), F.col("kind").alias("k1"), F.col("target").alias("k2"), step, decay(F.col("kind")).alias("w"), F.col("target").alias("to"))
+    into = edges.select(F.col("target").alias("at"), F.lit(1).alias("dir"), F.col("source").alias("k1"), F.col("kind").alias("k2"), step, decay(F.col("kind")).alias("w"), F.col("source").alias("to"))
     walk = out if direction == "out" else into if direction == "in" else out.unionByName(into)
+
+    def known(df: DataFrame, column: str) -> DataFrame:
+        if units is None:
+            return df
+        return units.select(F.col("unit_id").alias(column)).join(small(df), column).select(*df.columns)
+
+    starts = durable(known(starts.select("start_id").distinct(), "start_id"))
     front = starts.select("start_id", F.col("start_id").alias("unit_id"), F.lit(0).cast("long").alias("rank"), F.col("start_id").alias("path"), F.lit(1.0).alias("weight"))
     seen = front.select("start_id", "unit_id")
     found = None
     for hop in range(1, min(hops, MAX_HOPS) + 1):
-        c = front.join(walk, front["unit_id"] == walk["at"]).select("start_id", F.col("to").alias("unit_id"), F.col("rank").alias("parent"), "dir", "k1", "k2", F.concat_ws(" ", "path", "step", "to").alias("path"), (F.col("weight") * F.col("w")).alias("weight"))
+        at = front.select("start_id", F.col("unit_id").alias("at"), F.col("rank").alias("parent"), "path", "weight")
+        c = walk.join(small(at), "at").select("start_id", F.col("to").alias("unit_id"), "parent", "dir", "k1", "k2", F.concat_ws(" ", "path", "step", "to").alias("path"), (F.col("weight") * F.col("w")).alias("weight"))
         c = c.join(seen, ["start_id", "unit_id"], "left_anti")
-        # partial aggregation keeps the first path per node before anything is ranked
-        first = c.groupBy("start_id", "unit_id").agg(F.min(F.struct("parent", "dir", "k1", "k2", "path", "weight")).alias("m"))
+        # partial aggregation keeps the first path per node before anything is ranked; of a
+        # repeated edge as well
+        first = durable(c.groupBy("start_id", "unit_id").agg(F.min(F.struct("parent", "dir", "k1", "k2", "path", "weight")).alias("m")))
         w = Window.partitionBy("start_id").orderBy("m.parent", "m.dir", "m.k1", "m.k2", "unit_id")
-        front = first.select("start_id", "unit_id", F.row_number().over(w).cast("long").alias("rank"), F.col("m.path").alias("path"), F.col("m.weight").alias("weight"))
+        front = durable(known(first, "unit_id").select("start_id", "unit_id", F.row_number().over(w).cast("long").alias("rank"), F.col("m.path").alias("path"), F.col("m.weight").alias("weight")))
         seen = seen.unionByName(front.select("start_id", "unit_id"))
         got = front.select("start_id", F.lit(hop).cast("long").alias("hop"), "rank", "unit_id", "path", "weight")
         found = got if found is None else found.unionByName(got)
@@ -146,11 +159,11 @@ def neighbors(edges: DataFrame, starts: DataFrame, hops: int = 1, direction: str
     return found
 
 
-def graph_search(seeds: DataFrame, edges: DataFrame, limit: int, hops: int = 1) -> DataFrame:
+def graph_search(seeds: DataFrame, edges: DataFrame, limit: int, hops: int = 1, units: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, unit_id, score, via_graph): seeds (query_id, unit_id, score) and
     what they lead to, each at the best of its own and its propagated scores."""
     starts = seeds.select(F.col("unit_id").alias("start_id")).distinct()
-    paths = neighbors(edges, starts, hops)
+    paths = neighbors(edges, starts, hops, units=units)
     reached = seeds.join(paths.select("start_id", F.col("unit_id").alias("to"), "weight"), seeds["unit_id"] == F.col("start_id"))
     via = reached.select("query_id", F.col("to").alias("unit_id"), (F.col("score") * F.col("weight")).alias("score"), F.lit(1).alias("graph"))
     own = seeds.select("query_id", "unit_id", "score", F.lit(0).alias("graph"))
@@ -161,7 +174,7 @@ def graph_search(seeds: DataFrame, edges: DataFrame, limit: int, hops: int = 1)
     return s.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= limit).select("query_id", "rank", "unit_id", "score", "via_graph")
 
 
-def research(seeds: DataFrame, edges: DataFrame, limit: int, max_steps: int = 2, bar: float = 0.30, hops: int = 1) -> DataFrame:
+def research(seeds: DataFrame, edges: DataFrame, limit: int, max_steps: int = 2, bar: float = 0.30, hops: int = 1, units: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, unit_id, score, stop_reason): a dominant first result ends the
     search; otherwise the graph's results are merged in. seeds also have rank."""
     from .ranking import dominance
@@ -171,7 +184,7 @@ def research(seeds: DataFrame, edges: DataFrame, limit: int, max_steps: int = 2,
     d = d.select("query_id", sure.alias("sure"))
     firm = seeds.join(d.where("sure"), "query_id", "left_semi").where(F.col("rank") <= limit)
     open_ = seeds.join(d.where("not sure"), "query_id", "left_semi").select("query_id", "unit_id", "score")
-    more = graph_search(open_, edges, max(2 * limit, 8), hops)
+    more = durable(graph_search(open_, edges, max(2 * limit, 8), hops, units))
     merged = open_.select("query_id", "unit_id", "score", F.lit(0).alias("o")).unionByName(more.select("query_id", "unit_id", "score", F.lit(1).alias("o")))
     one = merged.groupBy("query_id", "unit_id").agg(F.max(F.struct("score", (-F.col("o")).alias("o"))).alias("m")).select("query_id", "unit_id", "m.score")
     new = more.join(open_, ["query_id", "unit_id"], "left_anti").select("query_id").distinct().withColumn("new", F.lit(True))

@@ -165,7 +165,7 @@ def _regions(s, d):
 # all of these walk along "contains" edges, whose weight is 0.5
 @query("neighbors", f"WITH {EDGES}, {_WALK} SELECT start_id, CAST(hop AS BIGINT) AS hop, CAST(rank AS BIGINT) AS rank, unit_id, path, CASE hop WHEN 1 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS weight FROM nb")
 def neighbors(s, d):
-    return G.neighbors(G.valid(_edges(s, d), _ids(s, d)), _regions(s, d), hops=2)
+    return G.neighbors(_edges(s, d), _regions(s, d), hops=2, units=_ids(s, d))
 
 
 # seeds of a search over all edges: queries 0.. have the nations, scored by the number of
@@ -201,13 +201,9 @@ def _seeds(s, d):
     return nations.unionByName(two.select("query_id", "unit_id", "score"))
 
 
-def _net(s, d):
-    return G.valid(_edges(s, d), _ids(s, d))
-
-
 @query("graph_search", f"{_GS} SELECT query_id, CAST(rank AS BIGINT) AS rank, unit_id, score, via_graph FROM gr WHERE rank <= 16")
 def graph_search(s, d):
-    return G.graph_search(_seeds(s, d), _net(s, d), 16)
+    return G.graph_search(durable(_seeds(s, d)), _edges(s, d), 16, units=_ids(s, d))
 
 
 @query(
@@ -224,7 +220,7 @@ rest AS (SELECT o.query_id, row_number() OVER (PARTITION BY o.query_id ORDER BY
 SELECT query_id, CAST(rank AS BIGINT) AS rank, unit_id, score, stop_reason FROM (SELECT * FROM firm UNION ALL SELECT * FROM rest WHERE rank <= 8)""",
 )
 def research(s, d):
-    return G.research(R.ranked(_seeds(s, d), 1 << 30), _net(s, d), 8)
+    return G.research(durable(R.ranked(_seeds(s, d), 1 << 30)), _edges(s, d), 8, units=_ids(s, d))
 
 
 # lines: pages cut behind each tag
