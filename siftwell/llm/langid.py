@@ -275,7 +275,7 @@ def identify(texts: list[str], scorer: Scorer | None) -> tuple[list[str], list[f
     return pred, score
 
 
-def label(df: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
+def label(df: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     """The rows of df whose language is recognised with a posterior of ``least`` or
     more, with lang replaced by it; ``und`` rows go. All other columns stay."""
     shared = df.sparkSession.sparkContext.broadcast(model)
