@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import durable
+
 
 def rank_metrics(questions: DataFrame, ranks: DataFrame, acceptable: DataFrame) -> DataFrame:
     """(query_id, hit_at_1, hit_at_k, rr): ranks: query_id, rank, unit_id; acceptable:
@@ -73,12 +75,17 @@ def grep_loop(lines: DataFrame, words: DataFrame) -> DataFrame:
     """(query_id, rank, path, words, lines, chars): files by the number of distinct query
     words that some line contains. lines: path, line; words: query_id, word (the stated
     questions', broadcast after a check of size)."""
+    from siftwell.functions.text import TOKEN
+
     from .ranking import small
 
+    # a word lies within one token, so the vocabulary is searched and not every line
+    runs = F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(TOKEN), F.lit(0)))
+    held = lines.select("path", "line_no", F.length("line").alias("n"), F.explode(runs).alias("run"))
     distinct = words.select("word").distinct()
-    low = lines.select("path", "line_no", "line", F.lower("line").alias("low"))
-    hit = low.join(small(distinct), F.col("low").contains(F.col("word"))).join(small(words), "word")
-    per = hit.groupBy("query_id", "path", "line_no").agg(F.collect_set("word").alias("ws"), F.max(F.length("line")).alias("n"))
+    found = held.select("run").distinct().join(small(distinct), F.contains("run", "word"))
+    hit = held.join(small(durable(found)), "run").join(small(words), "word")
+    per = hit.groupBy("query_id", "path", "line_no").agg(F.collect_set("word").alias("ws"), F.max("n").alias("n"))
     w = per.select("query_id", "path", F.explode("ws").alias("word")).groupBy("query_id", "path").agg(F.count_distinct("word").alias("words"))
     s = per.groupBy("query_id", "path").agg(F.count("*").alias("lines"), F.sum("n").cast("long").alias("chars"))
     r = w.join(s, ["query_id", "path"])
