@@ -8,6 +8,7 @@ gives a diagnostic row in the place of units.
 from __future__ import annotations
 
 import ast
+import copy
 import re
 
 import pandas as pd
@@ -120,120 +121,172 @@ def _row(**given) -> dict:
     return base | {"calls": [], "imports": []} | given
 
 
-def _dotted(node: ast.AST) -> str:
-    if isinstance(node, ast.Name):
-        return node.id
-    if isinstance(node, ast.Attribute):
-        head = _dotted(node.value)
-        return f"{head}.{node.attr}" if head else node.attr
-    return ""
-
-
 def _imports(nodes) -> set[str]:
+    """Imported modules; of a relative import without one, its first name."""
     out: set[str] = set()
     for n in nodes:
         if isinstance(n, ast.Import):
             out |= {a.name for a in n.names}
         elif isinstance(n, ast.ImportFrom):
-            out.add(n.module or "")
-    return out
+            out.add(n.module or n.names[0].name)
+    return out - {""}
+
+
+_DECLARES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+
+
+def _signature(node) -> str:
+    """The declaration's own line as the grammar writes it, whatever lines it stood on."""
+    bare = copy.copy(node)
+    bare.body, bare.decorator_list = [ast.Pass()], []
+    return ast.unparse(bare).split("\n")[0][:500]
+
+
+def python_sentence(node, calls: list[str], imports: list[str]) -> str:
+    """What a Python declaration is described by. The words between are fixed values."""
+    own = isinstance(node, ast.ClassDef)
+    takes = [] if own else [a.arg for a in node.args.args]
+    doc = " ".join((ast.get_docstring(node) or "").split())
+    said = [f"This {'class' if own else 'method'} {humanized(node.name)}"]
+    for words, names in (("accepts ", takes), ("and calls ", calls[:8]), ("using ", imports[:8])):
+        said += [words + ", ".join(names)] * bool(names)
+    return ". ".join(said + [f"{MARKER} {doc}"] * bool(doc)) + "."
 
 
 def python_units(path: str, source: str) -> list[dict]:
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError) as e:
-        return [_row(path=path, code="syntax_error", line=getattr(e, "lineno", None) or 1, message=str(e)[:500])]
+        return [_row(path=path, code="syntax_error", line=getattr(e, "lineno", None), message=getattr(e, "msg", str(e))[:500])]
     lines, top, out = source.split("\n"), _imports(tree.body), []
-
-    def visit(body, owner: str) -> None:
-        for n in body:
-            if not isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                continue
-            kind = "class" if isinstance(n, ast.ClassDef) else "function"
-            name = f"{owner}.{n.name}" if owner else n.name
-            calls = sorted({d for x in ast.walk(n) if isinstance(x, ast.Call) and (d := _dotted(x.func))})
-            imports = sorted((top | _imports(ast.walk(n))) - {""})
-            doc = " ".join((ast.get_docstring(n) or "").split())
-            said = [f"This Python {'class' if kind == 'class' else 'method' if owner else 'function'} {humanized(n.name)}"]
-            said += [f"It calls {', '.join(calls[:8])}"] * bool(calls) + [f"It imports {', '.join(imports[:8])}"] * bool(imports) + [f"{MARKER} {doc}"] * bool(doc)
-            out.append(
-                _row(
-                    unit_id=f"{path}:{n.lineno}:{name}", path=path, language="python", kind=kind, name=n.name, qualified_name=name,
-                    signature=lines[n.lineno - 1].strip()[:500], start_line=n.lineno, end_line=n.end_lineno,
-                    source="\n".join(lines[n.lineno - 1 : n.end_lineno]).strip(), description=". ".join(said) + ".", parent=owner or None, calls=calls, imports=imports,
-                )
-            )
-            visit(n.body, name)
-
-    visit(tree.body, "")
+    todo: list[tuple[ast.AST, str]] = [(tree, "")]
+    while todo:  # depth first, in the order of the source
+        node, owner = todo.pop()
+        if not isinstance(node, _DECLARES):
+            todo += [(c, owner) for c in reversed(list(ast.iter_child_nodes(node)))]
+            continue
+        name = f"{owner}.{node.name}" if owner else node.name
+        inside = list(ast.walk(node))
+        calls = sorted({x.func.id if isinstance(x.func, ast.Name) else ast.unparse(x.func) for x in inside if isinstance(x, ast.Call) and isinstance(x.func, (ast.Name, ast.Attribute))})
+        imports = sorted(top | _imports(inside))
+        out.append(
+            _row(
+                unit_id=f"{path}:{node.lineno}:{name}", path=path, language="python", kind="class" if isinstance(node, ast.ClassDef) else "function", name=node.name,
+                qualified_name=name, signature=_signature(node), start_line=node.lineno, end_line=node.end_lineno,
+                source="\n".join(lines[node.lineno - 1 : node.end_lineno]).strip(), description=python_sentence(node, calls, imports), parent=owner or None, calls=calls, imports=imports,
+            )
+        )
+        todo += [(c, name) for c in reversed(node.body)]
     return out
 
 
+#: Comment markers in front of a line, and what documents what follows. Fixed values.
+_MARKS = re.compile(r"^(?:(?:/\*\*|\*/|///|//!|##|//|#|\*)\s*)+")
+_DOCUMENTS = ("/**", "///", "//!", "##", '"""')
+_BETWEEN = ("@", "#[", "[")  # annotations and attributes
+
+
 def comment_above(lines: list[str], at: int, language: str, most: int = 20, chars: int = 600) -> str:
-    """The unbroken comment lines right above line number at (from 0)."""
+    """The unbroken comment right above line number at (from 0), markers and tags taken
+    off; rules, and code that is commented out, are no words about it."""
     marks = _COMMENT.get(language, ("//", "/*", "*"))
-    run: list[str] = []
-    i = at - 1
-    while i >= 0:
-        bare = lines[i].strip()
-        if bare.startswith("@") or (bare.startswith("#[") and language == "rust"):
-            i -= 1
+    said: list[str] = []
+    for line in reversed(lines[:at]):
+        bare = line.strip()
+        if len(said) == most:
+            break
+        if bare.startswith(_BETWEEN) and not bare.startswith(marks):
             continue
-        if not bare.startswith(marks):
+        if not bare.startswith((*marks, *_DOCUMENTS)):
             break
-        run.append(re.sub(r"\s*\*/$", "", re.sub(r"^(?:///?!?|//|/\*+|\*+(?!/)|#+)\s?", "", bare)).strip())
-        i -= 1
-    text = [x for x in reversed(run[:most]) if re.search("[A-Za-z一-鿿]", x) and x[-1] not in ";{}" and not x.startswith("@")]
-    return " ".join(text)[:chars]
+        text = re.sub(r"\s*\*/$", "", _MARKS.sub("", bare))
+        text = re.sub(r"^@\w+\s*", "", text)
+        if any(c.isalpha() for c in text) and not text.endswith((";", "{", "}")):
+            said.append(text)
+    return " ".join(reversed(said))[:chars]
+
+
+#: A line that begins so goes on with the statement before it.
+_GOES_ON = (":", ",", "?", ")", "]", "}", "&&", "||", "|", "+", ".", "=>", "->")
+#: Lines below its own on which a declaration's body may open.
+_REACH = 12
+
+
+def _opening(codes: list[str], at: int) -> int | None:
+    """The line whose brace opens the body of a declaration, None where it ends without
+    one: at a semicolon, an empty line or the brace that closes what it stands in."""
+    for k in range(at, min(at + _REACH, len(codes))):
+        brace, end = codes[k].find("{"), codes[k].find(";")
+        if brace >= 0 and not 0 <= end < brace:
+            return k
+        if end >= 0 or k > at and (not codes[k].strip() or codes[k].lstrip().startswith("}")):
+            return None
+    return None
+
+
+def _last_line(lines: list[str], codes: list[str], depth: list[int], at: int, fallback: int, language: str, kind: str) -> int | None:
+    """The last line of what a declaration owns, None for one without a body that is no
+    class."""
+    if language == "ruby":
+        if re.search(r";\s*end\s*$", lines[at]):
+            return at
+        indent = len(lines[at]) - len(lines[at].lstrip())
+        return next((k for k in range(at + 1, len(lines)) if lines[k].strip() in ("end", "end;") and len(lines[k]) - len(lines[k].lstrip()) == indent), fallback)
+    if codes[at].rstrip().endswith(("=", "=>")):  # the body is an expression
+        opened = next((k for k in range(at, min(at + _REACH, len(codes))) if "{" in codes[k]), None)
+        if opened is None:
+            return fallback
+    else:
+        opened = _opening(codes, at)
+        if opened is None:
+            return at if kind == "class" else None
+    outer = depth[opened] - codes[opened].count("{") + codes[opened].count("}")
+    return next((k for k in range(opened, len(lines)) if depth[k] <= outer), len(lines) - 1)
+
+
+def _here_documents(lines: list[str]) -> set[int]:
+    """Lines of shell here-documents, with their terminators: text, not code."""
+    out: set[int] = set()
+    until = None
+    for i, line in enumerate(lines):
+        if until is not None:
+            out.add(i)
+            until = None if line.strip() == until else until
+        elif m := re.search(r"<<-?\s*([\"']?)([A-Za-z_]\w*)\1", line):
+            until = m.group(2)
+    return out
 
 
 def generic_units(path: str, source: str, language: str) -> list[dict]:
     lines = source.split("\n")
+    if lines[-1] == "":
+        lines.pop()
     rules = [(k, rx) for langs, k, rx in RULES if language in langs]
     skip = _COMMENT.get(language, ("//", "/*", "*"))
-    found: list[tuple[int, str, str]] = []
+    data = _here_documents(lines) if language == "shell" else frozenset()
+    codes = ["" if i in data else blanked(x, language) for i, x in enumerate(lines)]
     depth, level = [], 0
-    until = None  # the terminator of a shell or ruby here-document
-    for i, line in enumerate(lines):
-        bare = line.strip()
-        if until is not None:
-            until = None if bare == until else until
-            depth.append(level)
-            continue
-        code = blanked(line, language)
+    for code in codes:
         level += code.count("{") - code.count("}")
         depth.append(level)
-        m = re.search(r"<<[-~]?[\"']?([A-Z_]+)[\"']?", line) if language in ("shell", "ruby", "php") else None
-        if m:
-            until = m.group(1)
-        if not bare or bare.startswith(skip):
+    found: list[tuple[int, str, str]] = []
+    for i, line in enumerate(lines):
+        bare = line.strip()
+        if i in data or not bare or bare.startswith(skip) or bare.startswith(_GOES_ON):
             continue
         if re.match(r"\w*", bare).group() in _STATEMENTS and "function" not in bare and not bare.startswith("case class"):
             continue
         for kind, rx in rules:
             m = rx.match(line)
             if m and m.group(1) not in _NOT_NAMES:
-                found.append((i, kind, m.group(1)))
+                if kind == "class" or language == "ruby" or codes[i].rstrip().endswith(("=", "=>")) or _opening(codes, i) is not None:
+                    found.append((i, kind, m.group(1)))
                 break
     spans = []
     for j, (i, kind, name) in enumerate(found):
-        fallback = (found[j + 1][0] - 1) if j + 1 < len(found) else len(lines) - 1
-        if language == "ruby":
-            indent = len(lines[i]) - len(lines[i].lstrip())
-            end = next((k for k in range(i + 1, len(lines)) if lines[k].strip() == "end" and len(lines[k]) - len(lines[k].lstrip()) == indent), fallback)
-        else:
-            outer = depth[i - 1] if i else 0
-            # a body opens before the next declaration does
-            stop = found[j + 1][0] if j + 1 < len(found) else len(lines)
-            opened = next((k for k in range(i, min(i + 12, max(stop, i + 1))) if "{" in blanked(lines[k], language) or ";" in blanked(lines[k], language)), None)
-            if opened is None or "{" not in blanked(lines[opened], language):
-                if opened is not None and language not in ("javascript", "typescript", "kotlin", "scala"):
-                    continue  # declared here, with a body elsewhere
-                end = fallback if opened is None else opened
-            else:
-                end = next((k for k in range(opened, len(lines)) if depth[k] <= outer), fallback)
-        spans.append((i, max(i, end), kind, name))
+        fallback = found[j + 1][0] - 1 if j + 1 < len(found) else len(lines) - 1
+        end = _last_line(lines, codes, depth, i, fallback, language, kind)
+        spans.append((i, max(i, min(end, len(lines) - 1)), kind, name))
     out = []
     for i, end, kind, name in spans:
         owners = [n for s, e, k, n in spans if k == "class" and s <= i and end <= e and (s, e) != (i, end)]
@@ -254,7 +307,7 @@ def parse_one(path: str, content: bytes) -> list[dict]:
     try:
         source = content.decode("utf-8")
     except UnicodeDecodeError as e:
-        return [_row(path=path, code="decode_error", line=1, message=str(e))]
+        return [_row(path=path, code="decode_error", message=str(e))]
     return python_units(path, source) if language == "python" else generic_units(path, source, language)
 
 

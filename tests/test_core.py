@@ -181,8 +181,8 @@ def test_python_units():
     ("path", "source", "names"),
     [
         ("a.go", "// Sums up.\nfunc Sum(a int) int {\n\treturn a\n}\ntype T struct {\n}\n", ["Sum", "T"]),
-        ("a.rs", "pub fn run() {\n  let s = \"}\";\n}\nstruct S;\n", ["run"]),
-        ("a.js", "export function f(a) {\n}\nconst g = (x) => x;\nclass K {\n}\n", ["f", "g", "K"]),
+        ("a.rs", "pub fn run() {\n  let s = \"}\";\n}\nstruct S;\n", ["run", "S"]),
+        ("a.js", "export function f(a) {\n}\nconst g = (x) => x;\nconst h = (x) => {\n};\nclass K {\n}\n", ["f", "h", "K"]),
         ("a.rb", "class A\n  def b\n    1\n  end\nend\n", ["A", "b"]),
         ("a.java", "public class A {\n  public int f(int x) {\n    return x;\n  }\n}\n", ["A", "f"]),
         ("a.sh", "run() {\n  cat <<EOF\nfake() {\nEOF\n}\n", ["run"]),
@@ -193,6 +193,13 @@ def test_other_languages(path, source, names):
     assert [u["name"] for u in parse.parse_one(path, source.encode())] == names
 
 
+def test_comment_lines_are_cleaned():
+    above = ["/**", " * Charges an invoice,", " * once.", " * @param id the invoice to charge", " * x = y;", " * -----", " */", "@Override", "#[inline]"]
+    assert parse.comment_above([*above, "f() {"], len(above), "java") == "Charges an invoice, once. id the invoice to charge"
+    assert parse.comment_above(["// far", "", "f() {"], 2, "java") == ""
+    assert parse.comment_above([f"// w{i}" for i in range(30)] + ["f() {"], 30, "go") == " ".join(f"w{i}" for i in range(10, 30))
+
+
 def test_doc_comment_is_kept():
     (u, *_) = parse.parse_one("a.go", b"// Sums up\n// all values.\nfunc Sum(a int) int {\n\treturn a\n}\n")
     assert "Documented intent: Sums up all values." in u["description"] and (u["start_line"], u["end_line"]) == (3, 5)
