@@ -202,23 +202,23 @@ def _members(data: bytes):
             return
 
 
+def _chunks(data: bytes):
+    """What _members gives, up to where it breaks off."""
+    try:
+        yield from _members(data)
+    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError, MemoryError):
+        return
+    except Exception as e:  # zstandard's own error class
+        if type(e).__name__ != "ZstdError":
+            raise
+
+
 def _unpacked(data: bytes):
-    """The text of a compressed stream and of those right behind it, in windows; none
-    where data is no stream or its content no text."""
+    """The content of a compressed stream and of those right behind it as text, in
+    windows; none where data is no stream."""
     decoder = codecs.getincrementaldecoder("utf-8")("replace")
     held, told = "", False
-    streams = _members(data)
-    while True:
-        try:
-            chunk = next(streams)
-        except StopIteration:
-            break
-        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError, MemoryError):
-            break
-        except Exception as e:  # zstandard's own error class
-            if type(e).__name__ != "ZstdError":
-                raise
-            break
+    for chunk in _chunks(data):
         held += decoder.decode(chunk)
         while len(held) >= WINDOW:
             yield held[:WINDOW]
@@ -240,7 +240,9 @@ def _texty(data: bytes) -> str | None:
 
 
 def _is_stream(data: bytes) -> bool:
-    return any(x and not _odd(x[:4096]) for x in _unpacked(data[: 1 << 16])) if _MAGIC.match(data) else False
+    """Whether data unpacks to anything. What it holds may begin as no text at all, and a
+    block of bzip2 or xz may be long, so neither data nor content is cut for this."""
+    return _MAGIC.match(data) is not None and any(_chunks(data))
 
 
 def _decoded(flat: str, start: int) -> bytes:
@@ -255,11 +257,12 @@ def _run(flat: str):
     (place, packed bytes); places are bits behind the run's begin."""
     if len(flat) % 4 != 1:
         data = _decoded(flat, 0)
-        if _is_stream(data):
-            return [], [(0, data)]
         text = _texty(data)
-        if text is not None:
-            return [(0, text)], []
+        if text is not None:  # two letters may begin zlib and a text
+            return [(0, text)], [(0, data)] if _is_stream(data) else []
+        m = _MAGIC.match(data)
+        if m and len(m.group()) > 2 and _is_stream(data):
+            return [], [(0, data)]
     texts, packed = [], []
     for start in range(4):
         data = _decoded(flat, start)

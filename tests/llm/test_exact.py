@@ -280,6 +280,22 @@ def test_streams_beyond_a_window(monkeypatch, pack, at):
     assert not _has(f"né {B64(PACKS[pack](fill.encode())).decode()} .")
 
 
+@pytest.mark.parametrize("pack", list(PACKS))
+@pytest.mark.parametrize("glue", ["", "xy"])
+def test_streams_that_begin_as_no_text(pack, glue):
+    """Neither odd characters in front nor a long first block hide the rest of a stream."""
+    rng = random.Random(2)
+    odd = bytes(rng.randrange(4) for _ in range(6000))
+    assert _has(f"né {glue}{B64(PACKS[pack](odd + SECRET.encode())).decode()} .")
+    if not glue:
+        long = B64(bytes(rng.randrange(256) for _ in range(90_000)))  # more than 64 KB packed, one block of bzip2
+        assert _has(f"né {B64(PACKS[pack](long + b' ' + SECRET.encode())).decode()} .")
+
+
+def test_a_text_that_begins_like_zlib():
+    assert _has(f"né {B64(b'x^2 ' + SECRET.encode()).decode()} .")
+
+
 @pytest.mark.parametrize("width", [16, 40, 48, 60, 64, 76])
 @pytest.mark.parametrize("packed", [False, True])
 def test_wrapped_base64(width, packed):
