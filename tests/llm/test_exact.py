@@ -567,6 +567,24 @@ def test_levels_go_deeper_and_cross_borders():
         assert whole[neardup.PAIR] <= some[neardup.PAIR] and some[neardup.DEEPER] == whole[neardup.DEEPER] and some[neardup.DENSE] == whole[neardup.DENSE]
 
 
+def test_range_bounds_take_few_rows_to_the_driver(spark, dense, monkeypatch):
+    """Whatever the number of partitions, what is drawn for their bounds is bounded, and
+    neither bounds nor the order of shingles come to the driver row by row."""
+    from pyspark.sql import DataFrame
+
+    from siftwell.llm import common
+
+    key = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    held, drawn = spark.conf.get(key), []
+    docs = spark.createDataFrame(list(enumerate(dense)), "doc_id long, text string")
+    want = sorted(map(tuple, neardup.group(docs).collect()))
+    monkeypatch.setattr(common, "SAMPLED", 64)
+    monkeypatch.setattr(neardup, "durable", lambda df: (drawn.append(int(spark.conf.get(key))), common.durable(df))[1])
+    monkeypatch.setattr(DataFrame, "toArrow", None)
+    assert sorted(map(tuple, neardup.group(docs).collect())) == want
+    assert min(drawn) * neardup.shuffle_width(spark) <= 64 and spark.conf.get(key) == held
+
+
 def test_repeated_rows_go_and_wordless_ones_stay(spark, docs_schema):
     t = " ".join(f"w{i}" for i in range(30))
     rows = [(1, t, "en", "s", 1)] * 3 + [(2, t, "en", "s", 1), (3, None, "en", "s", 0), (3, None, "en", "s", 0), (4, "", "x", "s", 0), (4, "", "x", "s", 0), (5, "other words here", "en", "s", 0), (5, "other words here", "de", "s", 0)]
