@@ -582,7 +582,7 @@ def _accept(s, d, at=None):
 
 def _lexical_top(s, d, at=None):
     at = at or V._probe(s, d)
-    return R.ranked(at.lexical(V._n(s, d)).withColumnRenamed("lexical", "score"))
+    return R.ranked(at.best(V._n(s, d), R.LIMIT).withColumnRenamed("lexical", "score"))
 
 
 def _metrics(s, d, at, acc):
