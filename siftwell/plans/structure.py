@@ -671,7 +671,7 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY words DE
 def grep_baseline(s, d):
     docs = C.table(s, d, "documents").select(F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "text")
     words = R.query_terms(V._questions(s, d)).where(F.length("term") >= 4).select("query_id", F.col("term").alias("word"))
-    return E.grep_loop(L.numbered(docs, "path", F.col("text")), words)
+    return E.grep_loop(docs, words)
 
 
 _TESTPATH = "CASE WHEN language = 'fr' THEN 'tests/' || path ELSE path END"
