@@ -66,23 +66,89 @@ def vector_reuse(u: DataFrame, previous: DataFrame) -> DataFrame:
     return j.select("unit_id", F.coalesce(same, F.lit(False)).alias("reused"))
 
 
+#: Bytes that one task of an ordered digest reads, about.
+DIGEST_BYTES = 128 << 20
+#: Of libcrypto: room for a SHA256_CTX, whose bytes are the whole state of a hash.
+_STATE = 256
+
+
+def _libcrypto():
+    """OpenSSL's library, where its SHA-256 takes up a state that was put down; else None."""
+    import ctypes
+    import ctypes.util
+    import hashlib
+
+    try:
+        lib = ctypes.CDLL(ctypes.util.find_library("crypto") or "libcrypto.so.3")
+        lib.SHA256_Update.argtypes = [ctypes.c_void_p, ctypes.c_char_p, ctypes.c_size_t]
+        got = _hashed_on(lib, _hashed_on(lib, None, [b"ab" * 50])[0], [b"", b"c" * 77])[1]
+    except (OSError, AttributeError):
+        return None
+    return lib if got == hashlib.sha256(b"ab" * 50 + b"c" * 77).hexdigest() else None
+
+
+def _hashed_on(lib, state: bytes | None, parts) -> tuple[bytes, str]:
+    """(state, hexdigest so far) of SHA-256 from a state on, over byte strings."""
+    import ctypes
+
+    now, out = ctypes.create_string_buffer(state or b"", _STATE), ctypes.create_string_buffer(32)
+    if state is None:
+        lib.SHA256_Init(now)
+    for x in parts:
+        lib.SHA256_Update(now, x, len(x))
+    held = now.raw
+    lib.SHA256_Final(out, now)
+    return held, out.raw.hex()
+
+
 def ordered_digest(rows: DataFrame, order: str, text) -> DataFrame:
     """(n, fingerprint): SHA-256 over the texts of all rows, one after the other in the
-    order of a column. Such a digest is one stream by its nature, so one task reads the
-    short sorted texts, spilling as it sorts, and holds none of them."""
+    order of a column. Such a digest is one stream by its nature. The rows are written once,
+    range partitioned in parts of about DIGEST_BYTES; one task after the other then takes up
+    the state of the hash where the last one put it down, and sorts and reads its own part
+    alone. Rows of equal keys lie in one part."""
     import hashlib
+    import uuid
 
     import pyarrow as pa
 
-    def run(batches):
-        h, n = hashlib.sha256(), 0
+    from .durable import removed, shared_dir
+
+    spark = rows.sparkSession
+    x = rows.select(F.col(order).alias("k"), F.coalesce(text, F.lit("")).alias("x"))
+
+    def texts(batches, count: list):
         for b in batches:
-            n += b.num_rows
-            for x in b.column(0).to_pylist():
-                h.update(x.encode("utf-8", "surrogatepass"))
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([h.hexdigest()])], ["n", "fingerprint"])
-
-    one = rows.select(F.col(order).alias("k"), F.coalesce(text, F.lit("")).alias("x")).repartition(1).sortWithinPartitions("k").select("x")
-    got = one.mapInArrow(run, "n long, fingerprint string")
-    # a task without rows may not run at all
-    return got.agg(F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("n"), F.coalesce(F.max("fingerprint"), F.lit(hashlib.sha256().hexdigest())).alias("fingerprint"))
+            count[0] += b.num_rows
+            for v in b.column(0).to_pylist():
+                yield v.encode("utf-8", "surrogatepass")
+
+    def run(state: bytes | None):
+        def one(batches):
+            lib, n = _libcrypto(), [0]
+            held, digest = _hashed_on(lib, state, texts(batches, n))
+            yield pa.RecordBatch.from_arrays([pa.array([n[0]], pa.int64()), pa.array([held]), pa.array([digest])], ["n", "state", "fingerprint"])
+
+        return one
+
+    def whole(batches):
+        h, n = hashlib.sha256(), [0]
+        for v in texts(batches, n):
+            h.update(v)
+        yield pa.RecordBatch.from_arrays([pa.array([n[0]], pa.int64()), pa.array([h.hexdigest()])], ["n", "fingerprint"])
+
+    size = x.agg(F.coalesce(F.sum(F.octet_length("x") + F.octet_length(F.coalesce("k", F.lit(""))) + 16), F.lit(0)).alias("b")).first()["b"]
+    parts = int(size) // DIGEST_BYTES + 1
+    if parts == 1 or _libcrypto() is None:
+        got = x.repartition(1).sortWithinPartitions("k").select("x").mapInArrow(whole, "n long, fingerprint string")
+        # a task without rows may not run at all
+        return got.agg(F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("n"), F.coalesce(F.max("fingerprint"), F.lit(hashlib.sha256().hexdigest())).alias("fingerprint"))
+    at = f"{shared_dir(spark)}/digest-{uuid.uuid4().hex}"
+    x.repartitionByRange(parts, "k").withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(at)
+    state, n, digest = None, 0, hashlib.sha256().hexdigest()
+    for part in sorted(r["part"] for r in spark.read.parquet(at).select("part").distinct().collect()):  # a row per part
+        mine = spark.read.parquet(f"{at}/part={part}").coalesce(1).sortWithinPartitions("k").select("x")
+        got = mine.mapInArrow(run(state), "n long, state binary, fingerprint string").first()
+        state, n, digest = bytes(got["state"]), n + got["n"], got["fingerprint"]
+    removed(spark, at)
+    return spark.createDataFrame([(n, digest)], "n long, fingerprint string")
