@@ -53,3 +53,22 @@ def test_batches_of_a_session_reach_python(spark):
         assert sum(r["n"] for r in sizes) == 200 and max(r["n"] for r in sizes) <= 10
     finally:
         spark.conf.set(key, old)
+
+
+def test_the_driver_gives_memory_back(spark, monkeypatch):
+    """Durable tables have the driver's heap collected and its allocator emptied, not each."""
+    monkeypatch.setattr(common, "EASE_SECONDS", 3600)
+    monkeypatch.setattr(common, "_eased", [float("-inf")])
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+
+    def collections():
+        return sum(g.getCollectionCount() for g in beans() if "Young" not in g.getName())
+
+    before = collections()
+    assert common.durable(spark.range(3)).count() == 3
+    assert collections() > before and common._eased[0] > 0
+    assert common.ease_driver(spark) is False
+    monkeypatch.setattr(common, "EASE_SECONDS", 0)
+    version = spark.sparkContext._jvm.java.lang.Runtime.version()
+    if (version.feature(), version.update()) >= (17, 9):
+        assert common.ease_driver(spark) is True
